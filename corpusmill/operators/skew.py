@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 50_000
+HOT_KEYS = 10_000
 SALTS = 32
 
 
+def hot_threshold(rows: int) -> int:
+    """Rows from which a key counts as hot, so that at most HOT_KEYS keys of a table of `rows` rows can be."""
+    return max(HOT_ROWS, -(-rows // HOT_KEYS))
+
+
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Join rows to lookup on key, spreading hot keys over several tasks.
 
     lookup has one row per key and holds in `count` how many rows carry the key. Keys with more than
     hot_rows rows are hot: their lookup row is written once per salt, and the rows pick a salt by a hash
-    of their other columns. Rows of other keys use salt 0. Both sides learn hotness from the same number:
-    the hot keys (at most rows / hot_rows of them) reach the rows by a left join whose build side Spark
-    may broadcast once it has measured it.
+    of their other columns. Rows of other keys use salt 0. The list of hot keys is broadcast: it has at
+    most rows / hot_rows entries, so pass hot_threshold(rows) for it to stay within HOT_KEYS.
     """
-    hot = lookup.where(F.col(count) > hot_rows).select(F.col(key).alias("_hot_key"))
+    hot = F.broadcast(lookup.where(F.col(count) > hot_rows).select(F.col(key).alias("_hot_key")))
     others = [c for c in rows.columns if c != key] or [key]
     picked = rows.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn(
         "_salt", F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
