@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill import config as C
+from corpusmill.operators.ranking import numbered, overlapping_pairs
 from corpusmill.session import cut_lineage
 
 
@@ -15,21 +16,15 @@ def item_weights(members: DataFrame) -> DataFrame:
     return members.groupBy("kind", "item").agg(F.count("*").alias("df")).where("df > 1").withColumn("w", w)
 
 
-def vocabulary_edges(members: DataFrame, floor: float = C.MIN_EDGE) -> DataFrame:
-    """a < b and vocab: pairs of files whose shared items weigh `floor` or more together.
+def weighed_items(members: DataFrame) -> DataFrame:
+    """file_id, items: each file's items with their weights."""
+    rows = members.join(item_weights(members), ["kind", "item"]).select("file_id", F.struct("w", "kind", "item").alias("x"))
+    return rows.groupBy("file_id").agg(F.collect_list("x").alias("items"))
 
-    members: distinct file_id, kind, item. Pairs are found by their rarest items only: with a file's items in
-    descending order of weight, the last ones that together stay below the floor can't make an edge on their
-    own, so every edge shares an item before them. Items that a large part of all files have are thus never
-    joined with themselves, and no pair is lost. Candidates are then weighed on all their items.
-    """
-    weighed = members.join(item_weights(members), ["kind", "item"]).select("file_id", F.struct("w", "kind", "item").alias("x"))
-    files = weighed.groupBy("file_id").agg(F.sort_array(F.collect_list("x"), False).alias("items"))
-    rest = F.transform("items", lambda x, i: F.aggregate(F.slice("items", i + 1, F.size("items")), F.lit(0.0), lambda acc, y: acc + y["w"]))
-    files = cut_lineage(files.withColumn("head", F.filter(F.transform(F.arrays_zip("items", rest.alias("rest")), lambda z: F.when(z["rest"] >= floor - 1e-9, z["items"])), lambda x: x.isNotNull())))
-    heads = files.select("file_id", F.explode("head").alias("x")).select("file_id", "x.kind", "x.item")
-    pairs = heads.alias("l").join(heads.alias("r"), ["kind", "item"]).where("l.file_id < r.file_id").select(F.col("l.file_id").alias("a"), F.col("r.file_id").alias("b")).distinct()
-    return weigh_pairs(pairs, files).where(F.col("vocab") >= floor - 1e-9)
+
+def vocabulary_edges(members: DataFrame, floor: float = C.MIN_EDGE) -> DataFrame:
+    """a < b and vocab: pairs of files whose shared items weigh `floor` or more together. members: distinct file_id, kind, item."""
+    return overlapping_pairs(weighed_items(members), "file_id", "items", F.lit(floor)).withColumnRenamed("shared", "vocab")
 
 
 def weigh_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -53,8 +48,7 @@ def first_order(members: DataFrame, links: DataFrame, cosines: DataFrame, floor:
     A pair below the floor on shared items alone can still be an edge by a link or by its cosine, so those
     pairs are weighed on their items too.
     """
-    weighed = members.join(item_weights(members), ["kind", "item"]).select("file_id", F.struct("w", "kind", "item").alias("x"))
-    files = weighed.groupBy("file_id").agg(F.collect_list("x").alias("items"))
+    files = weighed_items(members)
     other = links.select("a", "b", F.lit(C.WEIGHT_LINK).alias("wikilink"), F.lit(0.0).alias("embedding")).unionByName(
         cosines.select("a", "b", F.lit(0.0).alias("wikilink"), (C.WEIGHT_EMBEDDING * F.col("cosine")).alias("embedding"))
     )
@@ -75,16 +69,18 @@ def second_order(edges: DataFrame, floor: float = C.MIN_EDGE, weight: float = C.
     """a, b, weight: pairs without an edge whose common neighbours weigh enough, by Adamic-Adar over the roots of their degrees.
 
     Degrees are those of the edges given. A neighbour of degree d adds 1 / ln d to its pairs; a pair needs
-    sum / sqrt(deg a * deg b) >= floor / weight. Neighbours with so many edges that no pair of theirs could
-    reach the floor through them alone still count where another one brings the pair up.
+    sum / sqrt(deg a * deg b) >= floor / weight, so a node's pairs must share at least the root of its own
+    degree times that: nodes with many edges, which every pair around them shares for little, are passed over
+    where they can't decide (overlapping_pairs).
     """
     adj = both_ways(edges)
     degree = adj.groupBy("node").agg(F.count("*").alias("deg"))
-    centre = adj.join(degree, "node").where("deg > 1").select(F.col("node").alias("z"), F.col("nbr").alias("n"), (1 / F.log(F.col("deg"))).alias("w"))
-    pairs = centre.alias("l").join(centre.select("z", F.col("n").alias("m")).alias("r"), "z").where("l.n < r.m").groupBy(F.col("l.n").alias("a"), F.col("r.m").alias("b")).agg(F.sum("w").alias("s"))
+    near = adj.join(degree.where("deg > 1"), "node").select("nbr", F.struct((1 / F.log(F.col("deg"))).alias("w"), F.col("node").alias("z")).alias("x"))
+    lists = near.groupBy(F.col("nbr").alias("node")).agg(F.collect_list("x").alias("items")).join(degree, "node")
+    pairs = overlapping_pairs(lists, "node", "items", F.lit(floor / weight) * F.sqrt("deg"))
     side = lambda s: degree.select(F.col("node").alias(s), F.col("deg").alias(f"d{s}"))
     scored = pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b")
-    return scored.withColumn("x", weight * F.col("s") / F.sqrt(F.col("da") * F.col("db"))).where(F.col("x") >= floor - 1e-9).select("a", "b", F.round("x", 4).alias("weight"))
+    return scored.withColumn("x", weight * F.col("shared") / F.sqrt(F.col("da") * F.col("db"))).where(F.col("x") >= floor - 1e-9).select("a", "b", F.round("x", 4).alias("weight"))
 
 
 def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
@@ -108,7 +104,7 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFra
         if not moved:
             break
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    number = sizes.select("label", (F.row_number().over(Window.orderBy(F.desc("size"), "least")) - 1).alias("community"))
+    number = numbered(sizes, [F.desc("size"), "least"], "community").select("label", "community")
     return labels.join(number, "label").select(F.col("node").alias("file_id"), "community")
 
 
@@ -130,7 +126,7 @@ def neighbours(edges: DataFrame, k: int = C.TOP_NEIGHBOURS) -> DataFrame:
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """file_id, degree (sum of weights), n_edges; 0 for files without edges."""
     d = both_ways(edges, "weight").groupBy(F.col("node").alias("file_id")).agg(F.sum("weight").alias("degree"), F.count("*").alias("n_edges"))
-    return nodes.select("file_id").distinct().join(d, "file_id", "left").select("file_id", F.round(F.coalesce("degree", F.lit(0.0)), 3).alias("degree"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    return nodes.select("file_id").distinct().join(d, "file_id", "left").select("file_id", F.round(F.coalesce("degree", F.lit(0.0)), 4).alias("degree"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
 def bridges(edges: DataFrame, labels: DataFrame, least: int = C.BRIDGE_COMMUNITIES) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Registered queries of the core library."""
+"""Registered queries of the core library, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from corpusmill.plans import browse, graph, ingest, search
+
+_PARTS = (search, browse, ingest, graph)
+QUERIES = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
+SQL = {k: q for p in _PARTS for k, q in p.SQL.items()}

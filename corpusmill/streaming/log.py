@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def read_log(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
-    """A file stream of a Parquet folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    """A stream of the files of a Parquet folder, or of one file of that name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
 
 
 def without_repeats(stream: DataFrame, keys: list[str], event_time: str, late: str = "180 days") -> DataFrame:
