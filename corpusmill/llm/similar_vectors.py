@@ -155,7 +155,9 @@ def most_similar(
         cat = lambda x, d: np.concatenate(x) if x else np.zeros(0, d)
         return pa.table({"rep": cat(out_rep, np.int64).astype(np.int64), "id": cat(out_id, np.int64).astype(np.int64), "s": cat(out_sim, np.float64).astype(np.float64)})
 
-    hits = index.unionByName(asks).groupBy("cell", "part", "block").applyInArrow(search, "rep bigint, id bigint, s double")
+    groups = sum(-(-m // shard_rows) * -(-visits.get(c, 1) // query_block) for c, m in homes.items())
+    spread = index.unionByName(asks).repartition(min(20_000, max(8, 4 * groups)), "cell", "part", "block")  # few groups share a task
+    hits = spread.groupBy("cell", "part", "block").applyInArrow(search, "rep bigint, id bigint, s double")
     # a vector's own copies are neighbours too, found or not
     alike = placed.where(F.size("ids") > 1).select("rep", F.explode("ids").alias("id"), F.lit(1.0).alias("s"))
     order = Window.partitionBy("rep").orderBy(F.desc("s"), "id")
