@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.cells import entered_values
 from corpusmill.operators.skew import hot_threshold, salted_lookup
+from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import table
 
 FIELD_KIND = {"concepts": "concept", "tags": "tag", "risk_category": "risk_category"}
 SIMILAR = 0.78
 COVERED = 0.5
+TASKS = 64
 #: Cyrillic and Greek letters that look like Latin ones.
 _LOOKALIKE = str.maketrans("абвгеёіјкмнорсѕтухһԁԛԝАВЕЗІЈКМНОРСЅТУХԌαβεηικνορτυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aбbгeeijkmнopcstyxhdqwABE3IJKMHOPCSTYXGaβenikvoptuxwABEZHIKMNOPTYX")
 _JOINERS = {"of", "the", "and", "in", "for", "to", "a"}
@@ -178,7 +180,7 @@ def canonical_names(entered: DataFrame, vocabulary: DataFrame) -> DataFrame:
             b["name"] = [matchers.get(k, none).match(v) for k, v in zip(b["kind"], b["entered"])]
             yield b
 
-    spread = entered.select("kind", "entered", "n").repartition(F.col("kind"), F.col("entered"))
+    spread = entered.select("kind", "entered", "n").repartition(TASKS, "kind", "entered")  # little data, but work per value
     return spread.mapInPandas(run, "kind string, entered string, n bigint, name string")
 
 
@@ -194,7 +196,7 @@ def mapped_values(sources: DataFrame, vocabulary: DataFrame) -> DataFrame:
     cases = values.join(F.broadcast(exact), ["kind", "entered"], "left_anti")  # the fixed vocabulary
     counted = cases.groupBy("kind", "entered").agg(F.count("*").alias("n"))
     key = F.concat_ws("\x00", "kind", "entered").alias("k")
-    names = canonical_names(counted, vocabulary).select(key, "n", "name")
+    names = cut_lineage(canonical_names(counted, vocabulary).select(key, "n", "name"))  # read twice below, matched once
     found = salted_lookup(cases.select("row_id", "field", "entered", key), names, "k", "n", hot_rows=hot_threshold(3 * sources.count()))
     return found.select("row_id", "field", "entered", "name")
 
