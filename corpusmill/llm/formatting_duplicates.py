@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.skew import hot_threshold, salted_lookup
+from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import table
 
 _SCHEME = re.compile(r"[\W_]*[a-z][a-z0-9+.\-]*://")
@@ -70,7 +71,7 @@ def formatting_groups(records: DataFrame, key: str, columns: list[str]) -> DataF
             yield b[["raw", "first", "n", "canon"]]
 
     written = distinct.mapInPandas(canonicalise, f"raw string, first {dict(complete.dtypes)['id']}, n bigint, canon string")
-    survivors = written.select("raw", "first", "n", F.sha2("canon", 256).alias("canon"))
+    survivors = cut_lineage(written.select("raw", "first", "n", F.sha2("canon", 256).alias("canon")))  # read twice below
     groups = survivors.groupBy("canon").agg(F.min("first").alias("first_key"), F.sum("n").alias("copies"))
     threshold = hot_threshold(total)
     by_raw = salted_lookup(survivors.select("canon", "raw", "n"), groups.withColumn("rows", F.col("copies")), "canon", "rows", hot_rows=threshold)

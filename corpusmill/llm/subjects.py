@@ -33,6 +33,7 @@ LEAST_COSINE = 0.15
 LEAST_NORM = 0.25
 MAJORITY = 0.5
 PRIOR = 4.0
+BLOCK = 100_000
 _FRONT = re.compile(r"\A﻿?\s*---[ \t]*\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.M)
 _ENDS = re.compile(r"(?<=[.!?。！？])[\"'”’»)*_]*\s+|\n\s*\n|\n(?=[ \t]*(?:[-*+•]|\d+[.)])[ \t])")
@@ -88,16 +89,17 @@ class SubjectModel:
 
     def classify(self, lists: list[list[int]]) -> np.ndarray:
         """Subject number of each sentence; len(subjects) for none."""
-        x, norm = _embed(lists, self.weight, self.row, self.terms)
+        sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
+        flat = np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
+        x, norm = _embed(flat, sizes, self.weight, self.row, self.terms)
         s = x @ self.centroids.T
         best = s.argmax(1)
         return np.where((s[np.arange(len(s)), best] < LEAST_COSINE) | (norm < self.floor), len(self.subjects), self.owner[best])
 
 
-def _embed(lists, weight, row, terms):
-    sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-    flat = np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
-    out = np.zeros((len(lists), terms.shape[1]), np.float32)
+def _embed(flat, sizes, weight, row, terms):
+    """Unit vectors and lengths of sentences, whose features lie one after the other in flat."""
+    out = np.zeros((len(sizes), terms.shape[1]), np.float32)
     at = row[flat]
     weighted = terms[np.maximum(at, 0)] * (weight[flat] * (at >= 0))[:, None]
     filled = sizes > 0
@@ -117,23 +119,21 @@ def _counted(r, flat):
 class _Sparse:
     """Rows of (column, weight) with products from both sides, a block of entries at a time."""
 
-    def __init__(self, lists, weight, row, columns):
-        sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-        flat = np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
-        r = np.repeat(np.arange(len(lists)), sizes)
+    def __init__(self, flat, sizes, weight, row, columns):
+        r = np.repeat(np.arange(len(sizes)), sizes)
         r, flat, times = _counted(r, flat)
         w = weight[flat] * (1 + np.log(times))
-        norm = np.sqrt(np.bincount(r, w * w, len(lists)))
+        norm = np.sqrt(np.bincount(r, w * w, len(sizes)))
         self.r, self.c, self.w = r, row[flat], (w / np.maximum(norm[r], 1e-9)).astype(np.float32)
-        self.shape = (len(lists), columns)
+        self.shape = (len(sizes), columns)
         by = np.argsort(self.c, kind="stable")
         self.by_column = (self.c[by], self.r[by], self.w[by])
 
     @staticmethod
     def _times(out_ix, in_ix, w, dense, n):
         out = np.zeros((n, dense.shape[1]), np.float32)
-        for lo in range(0, len(w), 500_000):
-            o, i, x = out_ix[lo : lo + 500_000], in_ix[lo : lo + 500_000], w[lo : lo + 500_000]
+        for lo in range(0, len(w), BLOCK):
+            o, i, x = out_ix[lo : lo + BLOCK], in_ix[lo : lo + BLOCK], w[lo : lo + BLOCK]
             first = np.concatenate([[0], np.nonzero(np.diff(o))[0] + 1])
             out[o[first]] += np.add.reduceat(dense[i] * x[:, None], first, axis=0)
         return out
@@ -156,26 +156,20 @@ def truncated_svd(a: _Sparse, rank: int, passes: int = 2, seed: int = 5) -> np.n
     return (q @ vt.T)[:, :rank].astype(np.float32)
 
 
-def _unevenness(sample: pd.DataFrame, numbers: dict[str, int]) -> np.ndarray:
+def _unevenness(features: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """By bucket: how far the labels of documents with the feature are from evenly spread (relative entropy, at most 1), shrunk for rare features, squared."""
-    counts = np.zeros((BUCKETS, len(numbers)), np.float64)
-    base = np.zeros(len(numbers))
-    for _, doc in sample.groupby("doc", sort=False):
-        labels = [numbers[x] for x in doc["labels"].iloc[0] if x in numbers]
-        if not labels:
-            continue
-        seen = np.unique(np.concatenate([np.asarray(x, np.int64) for x in doc["features"]]))
-        for i in labels:
-            counts[seen, i] += 1 / len(labels)
-            base[i] += 1 / len(labels)
-    k = len(numbers)
+    k = labels.shape[1]
+    counts = np.zeros((BUCKETS, k), np.float32)
+    for f, share in zip(features, labels):
+        counts[np.unique(f)] += share
+    base = labels.sum(0)
     even = counts * (base.sum() / k / np.maximum(base, 1.0))  # as if every label were as frequent as the others
     p = (even + PRIOR / k) / (even.sum(1, keepdims=True) + PRIOR)
     return np.square((p * np.log(p * k)).sum(1) / np.log(k)).astype(np.float32)
 
 
-def fit(sample: pd.DataFrame, df: np.ndarray, n_documents: int, areas: list[tuple[str, str]]) -> SubjectModel:
-    """sample: one row per sentence of labelled documents: doc (number), labels (list of subjects), features.
+def fit(sample: list[tuple[list[str], np.ndarray, np.ndarray]], df: np.ndarray, n_documents: int, areas: list[tuple[str, str]]) -> SubjectModel:
+    """sample: for each labelled document its labels, the number of features of each sentence, and the features one after the other.
 
     Seeds are drawn among the sentences of each label, and centroids are then refined over all sentences,
     whatever their labels; a centroid belongs to the label that most of its sentences' documents have, or to
@@ -183,23 +177,26 @@ def fit(sample: pd.DataFrame, df: np.ndarray, n_documents: int, areas: list[tupl
     """
     subjects = [s for s, _ in areas]
     numbers = {s: i for i, s in enumerate(subjects)} | {NONE: len(subjects)}
-    features = Features()
-    about = pd.DataFrame({"doc": range(-1, -len(areas) - 1, -1), "labels": [[s] for s in subjects], "features": [features.of(_WORDS.findall(f"{s.replace('_', ' ')} {d}".lower())) for s, d in areas]})
-    sample = pd.concat([sample, about], ignore_index=True)
-    idf = np.log((n_documents + 1) / (df + 1.0)).astype(np.float32)
-    weight = idf * _unevenness(sample, numbers)
-    lists = [np.asarray(x, np.int64) for x in sample["features"]]
-    present = np.unique(np.concatenate(lists))
+    about = [np.array(Features().of(_WORDS.findall(f"{s.replace('_', ' ')} {d}".lower())), np.int64) for s, d in areas]
+    sample = sample + [([s], np.array([len(f)]), f) for s, f in zip(subjects, about)]
+    if not any(len(f) for _, _, f in sample):
+        blank = np.zeros((1, 1), np.float32)
+        return SubjectModel(np.zeros(BUCKETS, np.float32), np.full(BUCKETS, -1, np.int32), blank, blank, np.array([len(subjects)]), subjects, 0.0)
+    shares = np.zeros((len(sample), len(subjects) + 1), np.float32)
+    for j, (labels, _, _) in enumerate(sample):
+        known = [numbers[s] for s in labels if s in numbers]
+        shares[j, known] = 1 / max(1, len(known))
+    weight = np.log((n_documents + 1) / (df + 1.0)).astype(np.float32) * _unevenness([f for _, _, f in sample], shares)
+    flat = np.concatenate([f for _, _, f in sample]).astype(np.int64)
+    sizes = np.concatenate([n for _, n, _ in sample]).astype(np.int64)
+    present = np.unique(flat)
     row = np.full(BUCKETS, -1, np.int32)
     row[present] = np.arange(len(present), dtype=np.int32)
-    whole = [np.concatenate(list(g)) for _, g in pd.Series(lists).groupby(sample["doc"].to_numpy(), sort=False)]
-    terms = truncated_svd(_Sparse(whole, weight, row, len(present)), min(RANK, len(present)))
-    x, norm = _embed_blocks(lists, weight, row, terms)
+    whole = np.array([len(f) for _, _, f in sample], np.int64)
+    terms = truncated_svd(_Sparse(flat, whole, weight, row, len(present)), min(RANK, len(present)))
+    x, norm = _embed_blocks(flat, sizes, weight, row, terms)
+    belongs = np.repeat(shares, [len(n) for _, n, _ in sample], axis=0)
     floor = LEAST_NORM * float(np.median(norm[norm > 0])) if (norm > 0).any() else 0.0
-    belongs = np.zeros((len(lists), len(subjects) + 1), np.float32)
-    for j, labels in enumerate(sample["labels"]):
-        known = [numbers[s] for s in labels if s in numbers]
-        belongs[j, known] = 1 / max(1, len(known))
     heavy = (norm >= floor) & (norm > 0)
     rng = np.random.default_rng(3)
     seeds = [_seeds(x[mine], CENTROIDS, rng) for i in range(len(subjects) + 1) if len(mine := np.nonzero(heavy & (belongs[:, i] == 1))[0])]
@@ -228,8 +225,10 @@ def _sums(x: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return total
 
 
-def _embed_blocks(lists, weight, row, terms):
-    parts = [_embed(lists[i : i + 5000], weight, row, terms) for i in range(0, len(lists), 5000)]
+def _embed_blocks(flat, sizes, weight, row, terms, block: int = 2000):
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = range(0, len(sizes), block)
+    parts = [_embed(flat[ends[i] : ends[min(i + block, len(sizes))]], sizes[i : i + block], weight, row, terms) for i in at]
     return np.vstack([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -256,11 +255,17 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, samp
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
         for b in batches:
-            rows = [(d, lab, features.of(s)) for d, lab, t in zip(b["doc_id"], b["labels"], b["text"]) for s in sentences(t)]
-            yield pd.DataFrame(rows, columns=["doc", "labels", "features"])
-
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc bigint, labels array<string>, features array<int>")
-    return fit(sample.toPandas(), df, documents.count(), known)
+            rows = []
+            for labels, text in zip(b["labels"], b["text"]):
+                found = [features.of(s) for s in sentences(text)]
+                if found:
+                    rows.append((labels, [len(f) for f in found], [i for f in found for i in f]))
+            yield pd.DataFrame(rows, columns=["labels", "sizes", "features"])
+
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "labels array<string>, sizes array<int>, features array<int>")
+    got = sample.toArrow()
+    docs = [(r.as_py(), n.values.to_numpy(), f.values.to_numpy()) for r, n, f in zip(got.column("labels"), got.column("sizes"), got.column("features"))]
+    return fit(docs, df, documents.count(), known)
 
 
 def document_subjects(documents: DataFrame, model: SubjectModel, share: float = SHARE) -> DataFrame:
