@@ -100,7 +100,8 @@ def chunk_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(k, f"c{i:04d}", p, tokens_of(t), t) for k, body in zip(b[key], b[text]) if body for i, (p, t) in enumerate(chunks_of(body))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_id", "heading_path", "tokens", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "chunk_id", "heading_path", "tokens", "text"])
 
     return documents.select(key, text).mapInPandas(run, f"`{key}` {kind}, chunk_id string, heading_path string, tokens int, text string")
 
