@@ -137,7 +137,8 @@ def split_oversized(oversized: DataFrame, max_tokens: int = MAX_TOKENS, overlap:
                     rows.append((f, c, k, " > ".join(x for x in (path, heading) if x), start, (own + carried) * 4 // 3, carried, part))
                     for m in re.finditer(r"^#{1,6}[ \t]+([^\r\n]+)", part[fresh:], re.M):
                         heading = m.group(1).strip()
-            yield pd.DataFrame(rows, columns=["file_id", "chunk_id", "piece", "heading_path", "start", "n_tokens", "overlap_words", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_id", "chunk_id", "piece", "heading_path", "start", "n_tokens", "overlap_words", "text"])
 
     return oversized.select("file_id", "chunk_id", "heading_path", "text").mapInPandas(
         run, "file_id string, chunk_id string, piece int, heading_path string, start int, n_tokens int, overlap_words int, text string"

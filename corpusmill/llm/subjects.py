@@ -260,7 +260,8 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, samp
                 found = [features.of(s) for s in sentences(text)]
                 if found:
                     rows.append((labels, [len(f) for f in found], [i for f in found for i in f]))
-            yield pd.DataFrame(rows, columns=["labels", "sizes", "features"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["labels", "sizes", "features"])
 
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "labels array<string>, sizes array<int>, features array<int>")
     got = sample.toArrow()
@@ -293,7 +294,8 @@ def document_subjects(documents: DataFrame, model: SubjectModel, share: float =
                 rows, cols = np.nonzero(counts[:, :n] >= share * total[:, None] - 1e-9)
                 hit = counts[rows, cols] > 0
                 rows, cols = rows[hit], cols[hit]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[rows], "subject": [m.subjects[c] for c in cols], "share": np.round(counts[rows, cols] / total[rows], 6)})
+                if len(rows):
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[rows], "subject": [m.subjects[c] for c in cols], "share": np.round(counts[rows, cols] / total[rows], 6)})
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, subject string, share double")
 
