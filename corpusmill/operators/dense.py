@@ -23,7 +23,8 @@ def unit(c: Column) -> Column:
     """The vector divided by its length, in double precision; zero vectors stay as they are."""
     d = F.transform(c, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: x / F.when(norm > 0, norm).otherwise(1.0))
+    once = F.array_repeat(F.when(norm > 0, norm).otherwise(1.0), F.size(c))  # inside the lambda it would be summed per element
+    return F.zip_with(d, once, lambda x, n: x / n)
 
 
 def mean_vectors(rows: DataFrame, group: str, embedding: str) -> DataFrame:
