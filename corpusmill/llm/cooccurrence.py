@@ -55,7 +55,7 @@ def file_items(chunks: DataFrame) -> DataFrame:
 
 def p3_pairs(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks")
-    return cooccurring_pairs(file_items(chunks), chunks.select("file_id").distinct().count())
+    return cooccurring_pairs(file_items(chunks), chunks.where("file_id IS NOT NULL").select("file_id").distinct().count())
 
 
 def p3_found(spark, sf_dir):
