@@ -158,3 +158,15 @@ def expand(seeds: DataFrame, edges: DataFrame, per_seed: int = C.PER_HOP, floor:
     kept = fresh.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_seed)
     best = kept.groupBy("qid", F.col("nbr").alias("file_id")).agg(F.max_by(F.struct("via", "weight"), F.struct("weight", "via")).alias("w"))
     return best.select("qid", "file_id", "w.via", F.col("w.weight").alias("score"))
+
+
+def expand_hops(seeds: DataFrame, edges: DataFrame, hops: int = 1, decay: float = C.HOP_DECAY, per_seed: int = C.PER_HOP, floor: float = C.EXPAND_FLOOR) -> DataFrame:
+    """qid, file_id, via, score, hop: expansion over several hops; each hop starts from the files the last one brought in and weakens edges by decay before the floor."""
+    seen, front, found = seeds.select("qid", "file_id"), seeds.select("qid", "file_id"), None
+    for hop in range(1, hops + 1):
+        weaker = edges.withColumn("weight", F.col("weight") * F.lit(decay ** (hop - 1)))
+        new = cut_lineage(expand(front, weaker, per_seed, floor).join(seen, ["qid", "file_id"], "left_anti").withColumn("hop", F.lit(hop)))
+        found = new if found is None else found.unionByName(new)
+        front = new.select("qid", "file_id")
+        seen = seen.unionByName(front)
+    return found

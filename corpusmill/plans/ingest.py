@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import urls as U
 from corpusmill.functions.text import split_cell
+from corpusmill.functions.titles import fixed_title
 from corpusmill.operators import chunking
 from corpusmill.operators import duplicates as D
 from corpusmill.operators.delta import last_version
@@ -28,6 +30,25 @@ def url_handlers(spark, d):
     return _sources(spark, d).groupBy(U.handler(F.col("url")).alias("handler")).agg(F.count("*").alias("n"))
 
 
+def first_per_handler(spark, d, n: int = 3):
+    """The first n sources of each handler."""
+    order = Window.partitionBy("handler").orderBy("row_id")
+    rows = _sources(spark, d).select("row_id", U.handler(F.col("url")).alias("handler")).where("handler IS NOT NULL")
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).select("handler", "row_id")
+
+
+def fetched_markers(spark, d):
+    """Markers of what the tree already holds: trailing hashes of file names, with the number of files."""
+    m = U.hash_suffix(F.element_at(F.split("relpath", "/"), -1)).alias("marker")
+    return table(spark, d, "files").where(U.indexable(F.col("relpath"))).select(m).where("marker IS NOT NULL").groupBy("marker").agg(F.count("*").alias("n_files"))
+
+
+def title_fixes(spark, d):
+    """Titles that a rule changes, and why."""
+    t = fixed_title(F.col("title"), F.col("url"), F.col("filename"))
+    return _sources(spark, d).select("row_id", t.alias("t")).select("row_id", "t.value", "t.reason").where("reason <> ''")
+
+
 def name_slugs(spark, d):
     return _sources(spark, d).where("title IS NOT NULL").select("row_id", U.file_slug(F.col("title")).alias("file_slug"), U.topic_slug(F.col("title")).alias("topic_slug"))
 
@@ -153,12 +174,15 @@ _SIDE = "side AS (SELECT filename, max(row_id) AS row_id, arg_max(coalesce(sourc
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_urls, canonical_titles, url_handlers, name_slugs, clean_days, short_hashes, path_parts, list_cells, sidecar_last_wins, files_with_sidecar, refetch_guard, duplicate_groups, duplicate_winners, duplicate_summary, exact_texts, vocabulary_drift, trigger_hits, sentence_packs, document_chunks, summaries, scrubbed)
+    for f in (canonical_urls, canonical_titles, url_handlers, first_per_handler, fetched_markers, title_fixes, name_slugs, clean_days, short_hashes, path_parts, list_cells, sidecar_last_wins, files_with_sidecar, refetch_guard, duplicate_groups, duplicate_winners, duplicate_summary, exact_texts, vocabulary_drift, trigger_hits, sentence_packs, document_chunks, summaries, scrubbed)
 }
 SQL = {
     "canonical_urls": f"WITH {_SRC} SELECT row_id, coalesce(canonical, '') AS canonical, host FROM src",
     "canonical_titles": f"WITH {_SRC} SELECT row_id, ctitle AS canonical FROM src WHERE title IS NOT NULL",
     "url_handlers": r"""SELECT CASE WHEN regexp_matches(lower(trim(url)), '^https?://([a-z0-9.]+\.)?arxiv\.org/') THEN 'arxiv' WHEN regexp_matches(lower(trim(url)), '\.pdf([?#].*)?$') THEN 'pdf' WHEN trim(url) <> '' THEN 'web' END AS handler, count(*) AS n FROM notion_sources GROUP BY 1""",
+    "first_per_handler": r"""WITH h AS (SELECT row_id, CASE WHEN regexp_matches(lower(trim(url)), '^https?://([a-z0-9.]+\.)?arxiv\.org/') THEN 'arxiv' WHEN regexp_matches(lower(trim(url)), '\.pdf([?#].*)?$') THEN 'pdf' WHEN trim(url) <> '' THEN 'web' END AS handler FROM notion_sources)
+      SELECT handler, row_id FROM (SELECT *, row_number() OVER (PARTITION BY handler ORDER BY row_id) AS r FROM h WHERE handler IS NOT NULL) WHERE r <= 3""",
+    "fetched_markers": r"""SELECT regexp_extract(relpath, '_([0-9a-f]{8})\.[A-Za-z0-9]+$', 1) AS marker, count(*) AS n_files FROM files WHERE regexp_matches(relpath, '_([0-9a-f]{8})\.[A-Za-z0-9]+$') GROUP BY 1""",
     "name_slugs": r"""SELECT row_id, substr(regexp_replace(regexp_replace(title, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS file_slug, substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS topic_slug FROM notion_sources WHERE title IS NOT NULL""",
     "clean_days": r"""WITH x AS (SELECT row_id, regexp_extract(trim(published), '^(\d{4}-\d{2}-\d{2})', 1) AS d FROM notion_sources)
       SELECT row_id, CASE WHEN d <> '' AND try_cast(d AS DATE) >= DATE '2010-01-01' AND d NOT LIKE '%-01-01' THEN d ELSE '' END AS day FROM x""",

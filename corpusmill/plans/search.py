@@ -9,7 +9,7 @@ from corpusmill.functions.text import raw_tokens, token_estimate
 from corpusmill.operators import evaluation as E
 from corpusmill.operators.dense import dense_topk
 from corpusmill.operators.fusion import rrf
-from corpusmill.operators.lexical import bm25, corpus_stats, join_phrases, postings
+from corpusmill.operators.lexical import bm25, corpus_stats, join_phrases, postings, rerank
 from corpusmill.plans.common import CUR, KEYS, QS, VEC, bm25_sql, chunks, questions, tokens_sql, vectors
 from corpusmill.sources.tables import table
 
@@ -52,6 +52,20 @@ def phrase_terms(spark, d):
     return table(spark, d, "notion_sources").select(F.explode(joined).alias("term")).where(F.col("term").contains("_")).groupBy("term").agg(F.count("*").alias("n"))
 
 
+def stemmed_terms(spark, d):
+    """Stems of the words of log entries, and how many entries hold each; distinct words are stemmed once."""
+    from corpusmill.functions.stem import stems
+
+    words = table(spark, d, "log_entries").select("log_id", F.explode(F.array_distinct(raw_tokens(F.concat_ws(" ", "title", "body")))).alias("term"))
+    return words.join(stems(words.select("term")), "term").groupBy("stem").agg(F.count_distinct("log_id").alias("n"))
+
+
+def reranked(spark, d):
+    """The 40 best of each question scored again by the share of its words they hold."""
+    pool = chunks(spark, d)
+    return rerank(bm25(questions(spark, d), pool, KEYS, k=C.RERANK_POOL), questions(spark, d), pool, KEYS, 8)
+
+
 def _dense(spark, d, k):
     v = vectors(spark, d)
     return dense_topk(v.where("row_ix % 50 = 0").select(F.col("row_ix").alias("qid"), "vector"), v, "row_ix", "vector", k)
@@ -135,7 +149,7 @@ rel AS (SELECT DISTINCT qid, file_id FROM dense JOIN vec USING (row_ix) WHERE ra
 _BUCKET = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha1({c}), ''), lambda x: ('0x' || x)::BIGINT)), lambda acc, x: (acc * 16 + x) % 100)::INTEGER"
 _SPLIT = "CASE WHEN {b} < 30 THEN 'holdout' ELSE 'dev' END"
 
-QUERIES = {f.__name__: f for f in (term_counts, token_counts, pool_stats, bm25_topk, bm25_filtered, bm25_explain, phrase_terms, dense_nearest, hybrid_rrf, multi_query_rrf, eval_per_query, eval_aggregate, eval_compare, holdout_split)}
+QUERIES = {f.__name__: f for f in (term_counts, token_counts, pool_stats, bm25_topk, bm25_filtered, bm25_explain, phrase_terms, stemmed_terms, reranked, dense_nearest, hybrid_rrf, multi_query_rrf, eval_per_query, eval_aggregate, eval_compare, holdout_split)}
 _WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SQL = {
     "term_counts": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY ALL",
@@ -145,6 +159,9 @@ SQL = {
     "bm25_filtered": f"""WITH {CUR}, pool AS (SELECT * FROM cur WHERE len(list_filter(tags, lambda t: lower(trim(t)) = 'goal-drift')) > 0 AND lower(relpath) LIKE '%.md'), {QS}, {bm25_sql('qs', 8, 'pool')} SELECT * FROM bm25""",
     "bm25_explain": f"""WITH {CUR}, {QS}, {bm25_sql('qs', 3)}
       SELECT b.qid, b.file_id, b.chunk_id, b.rank, coalesce(string_agg(p.term, ' ' ORDER BY p.term), '') AS terms FROM bm25 b LEFT JOIN bm25_p p ON p.qid = b.qid AND p.file_id = b.file_id AND p.chunk_id = b.chunk_id AND p.part > 0 GROUP BY ALL""",
+    "reranked": f"""WITH {CUR}, {QS}, {bm25_sql('qs', 40)}, p AS (SELECT qid, file_id, chunk_id, list_distinct({tokens_sql('query')}) AS q, list_distinct(coalesce({tokens_sql('text')}, [])) AS t FROM bm25 JOIN qs USING (qid) JOIN cur USING (file_id, chunk_id)),
+      s AS (SELECT qid, file_id, chunk_id, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, t))::DOUBLE / len(q), 6) ELSE 0 END AS score FROM p)
+      SELECT qid, file_id, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_id, chunk_id) AS rank FROM s) WHERE rank <= 8""",
     "dense_nearest": f"WITH {VEC}, {_DENSE} SELECT qid, row_ix, rank, round(s, 4) AS score FROM dense WHERE rank <= 8",
     "hybrid_rrf": f"WITH {CUR}, {VEC}, {_DENSE}, {_HYBRID}, {bm25_sql('hq', 32)}, {_near(32)}, {_rrf(['bm25', 'near'], 8)} SELECT * FROM fused",
     "multi_query_rrf": f"""WITH {CUR}, {QS}, qb AS (SELECT log_id AS qid, body AS query FROM log_entries WHERE log_id % 50 = 0 AND body IS NOT NULL), {bm25_sql('qs', 24, name='l1')}, {bm25_sql('qb', 24, name='l2')}, {_rrf(['l1', 'l2'], 8)} SELECT * FROM fused""",

@@ -8,7 +8,9 @@ from corpusmill.functions.text import raw_tokens, token_estimate, word_count
 from corpusmill.operators import chunking, delta, duplicates, evaluation, facets, graph
 from corpusmill.operators.dense import cosine_pairs, dense_topk
 from corpusmill.operators.fusion import rrf
-from corpusmill.operators.lexical import bm25, join_phrases
+from corpusmill.functions import titles
+from corpusmill.functions.stem import stem_en, stems
+from corpusmill.operators.lexical import bm25, expand_acronyms, join_phrases, rerank
 from corpusmill.operators.ranking import numbered
 from corpusmill.operators.skew import hot_threshold, salted_lookup
 from corpusmill.sources.files import front_matter, parse_markdown, qrel_violations, scan_tree
@@ -222,3 +224,45 @@ def test_qrel_violations(spark):
     lines = [(1, good), (2, ""), (3, "{nope"), (4, good), (5, good.replace('"1"', '"2"').replace("dev", "x")), (6, good.replace('"1"', '"3"').replace('["a"]', "[]"))]
     got = {(r.line, r.problem) for r in qrel_violations(spark.createDataFrame(lines, "line int, value string")).collect()}
     assert got == {(3, "not a record"), (4, "qid occurs twice"), (5, "unknown split"), (6, "no relevant files")}
+
+
+@pytest.mark.parametrize(
+    "word, stem",
+    [
+        ("consistency", "consist"), ("knocking", "knock"), ("generously", "generous"), ("ties", "tie"), ("cries", "cri"), ("gas", "gas"), ("gaps", "gap"), ("hopping", "hop"), ("hoping", "hope"), ("agreed", "agre"), ("relational", "relat"),
+        ("happily", "happili"), ("skies", "sky"), ("news", "news"), ("argument", "argument"), ("rate", "rate"), ("rolling", "roll"), ("communication", "communic"), ("goal_drift", "goal_drift"), ("by", "by"), ("replacement", "replac"), ("adoption", "adopt"),
+    ],
+)
+def test_stem(word, stem):
+    assert stem_en(word) == stem
+
+
+def test_stems_once_per_term(spark):
+    df = spark.createDataFrame([("running",), ("running",), (None,)], "term string")
+    assert [(r.term, r.stem) for r in stems(df).collect()] == [("running", "run")]
+
+
+def test_acronyms_both_ways(spark):
+    got = one(spark, expand_acronyms(F.split("t", " "), {"LGD": ["latent", "goal", "drift"]}), "t string", "lgd x", "a latent goal drift", "goal latent drift")
+    assert got == [["lgd", "x", "latent", "goal", "drift"], ["a", "latent", "goal", "drift", "lgd"], ["goal", "latent", "drift"]]
+
+
+def test_rerank_orders_by_overlap(spark):
+    pool = spark.createDataFrame([("a", "red fish"), ("b", "red blue fish"), ("c", None)], "k string, text string")
+    asked = spark.createDataFrame([(1, "blue fish")], "qid int, query string")
+    got = rerank(pool.select(F.lit(1).alias("qid"), "k"), asked, pool, ["k"], 2).orderBy("rank").collect()
+    assert [(r.k, r.score) for r in got] == [("b", 1.0), ("a", 0.5)]
+
+
+def test_titles(spark):
+    f = titles.fixed_title(F.col("t"), F.lit("https://e.org/a/some-good-title-0a1b2c3d"), F.lit("x_0a1b2c3d.pdf"))
+    assert [tuple(r) for r in one(spark, f, "t string", "Fine", None, "untitled", "T H E  C O S T")] == [("Fine", ""), ("Some Good Title", "from url"), ("Some Good Title", "from url"), ("THE COST", "spaced capitals")]
+    assert one(spark, titles.looks_like_authors(F.col("t")), "t string", "Ana Vidal, Ben Roe", "A Title", None) == [True, False, False]
+
+
+def test_expand_hops_decay(spark):
+    e = spark.createDataFrame([("a", "b", 5.0), ("b", "c", 8.0)], "a string, b string, weight double")
+    seeds = spark.createDataFrame([(1, "a")], "qid int, file_id string")
+    assert [r.file_id for r in graph.expand_hops(seeds, e, 1).collect()] == ["b"]
+    assert sorted(r.file_id for r in graph.expand_hops(seeds, e, 2, 0.5).collect()) == ["b", "c"]
+    assert [r.file_id for r in graph.expand_hops(seeds, e, 2, 0.25).collect()] == ["b"]
