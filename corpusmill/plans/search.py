@@ -30,6 +30,12 @@ def bm25_topk(spark, d):
     return bm25(questions(spark, d), chunks(spark, d), KEYS)
 
 
+def bm25_vocabulary(spark, d):
+    """The best chunks for each name of the vocabulary."""
+    names = table(spark, d, "vocab_terms").where("name IS NOT NULL").select(F.col("name").alias("qid"), F.col("name").alias("query")).distinct()
+    return bm25(names, chunks(spark, d), KEYS)
+
+
 def _filtered(spark, d):
     return chunks(spark, d).where(F.exists("tags", lambda t: F.lower(F.trim(t)) == "goal-drift") & F.lower("relpath").endswith(".md"))
 
@@ -149,13 +155,14 @@ rel AS (SELECT DISTINCT qid, file_id FROM dense JOIN vec USING (row_ix) WHERE ra
 _BUCKET = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha1({c}), ''), lambda x: ('0x' || x)::BIGINT)), lambda acc, x: (acc * 16 + x) % 100)::INTEGER"
 _SPLIT = "CASE WHEN {b} < 30 THEN 'holdout' ELSE 'dev' END"
 
-QUERIES = {f.__name__: f for f in (term_counts, token_counts, pool_stats, bm25_topk, bm25_filtered, bm25_explain, phrase_terms, stemmed_terms, reranked, dense_nearest, hybrid_rrf, multi_query_rrf, eval_per_query, eval_aggregate, eval_compare, holdout_split)}
+QUERIES = {f.__name__: f for f in (term_counts, token_counts, pool_stats, bm25_topk, bm25_vocabulary, bm25_filtered, bm25_explain, phrase_terms, stemmed_terms, reranked, dense_nearest, hybrid_rrf, multi_query_rrf, eval_per_query, eval_aggregate, eval_compare, holdout_split)}
 _WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SQL = {
     "term_counts": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY ALL",
     "token_counts": f"SELECT doc_id, greatest(1, floor(len(regexp_extract_all(text, '[^{_WS}]+')) / 0.75))::INTEGER AS tokens FROM documents WHERE text IS NOT NULL",
     "pool_stats": f"WITH {CUR} SELECT count(*) AS n, round(avg(coalesce(len({tokens_sql('text')}), 0)), 6) AS avgdl FROM cur",
     "bm25_topk": f"WITH {CUR}, {QS}, {bm25_sql('qs', 8)} SELECT * FROM bm25",
+    "bm25_vocabulary": f"WITH {CUR}, qs AS (SELECT DISTINCT name AS qid, name AS query FROM vocab_terms WHERE name IS NOT NULL), {bm25_sql('qs', 8)} SELECT * FROM bm25",
     "bm25_filtered": f"""WITH {CUR}, pool AS (SELECT * FROM cur WHERE len(list_filter(tags, lambda t: lower(trim(t)) = 'goal-drift')) > 0 AND lower(relpath) LIKE '%.md'), {QS}, {bm25_sql('qs', 8, 'pool')} SELECT * FROM bm25""",
     "bm25_explain": f"""WITH {CUR}, {QS}, {bm25_sql('qs', 3)}
       SELECT b.qid, b.file_id, b.chunk_id, b.rank, coalesce(string_agg(p.term, ' ' ORDER BY p.term), '') AS terms FROM bm25 b LEFT JOIN bm25_p p ON p.qid = b.qid AND p.file_id = b.file_id AND p.chunk_id = b.chunk_id AND p.part > 0 GROUP BY ALL""",
