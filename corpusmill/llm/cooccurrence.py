@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.frequencies import TERMS_SQL, chunk_terms
+from corpusmill.operators.skew import hot_threshold, salted_lookup
+from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import table
 
 MIN_TOGETHER = 5
@@ -25,20 +27,22 @@ def cooccurring_pairs(items: DataFrame, n_baskets: int, basket: str = "basket",
 
     Items that cannot be in any result are left out before pairs are made, which changes no count: n_ab is
     at most the smaller marginal, so n_a < min_together can't reach the count, and n_a > n_baskets / min_lift
-    can't reach the lift. A basket of more than BLOCK items is cut into blocks, and each pair of blocks is a
-    row of its own, spread over the cluster, so that no task makes all pairs of a large basket.
+    can't reach the lift. The items of a basket are spread by a hash over blocks of about BLOCK items, as many
+    as its size asks for, and each pair of blocks is a group of its own: no basket, however large, is ever
+    collected in one place, and no task makes all its pairs. Sizes go to the items by a salted join.
     """
     once = items.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).alias("i")).distinct()
     marginal = once.groupBy("i").agg(F.count("*").alias("n"))
-    kept = marginal.where((F.col("n") >= min_together) & (F.col("n") * F.lit(min_lift) <= F.lit(n_baskets)))
-    baskets = once.join(kept.select("i"), "i").groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("all")).where(F.size("all") > 1)
-    blocks = baskets.select(
-        "b", F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int")), lambda k: F.slice("all", k * BLOCK + 1, F.lit(BLOCK))).alias("blocks")
-    )
-    lefts = blocks.select("b", "blocks", F.posexplode("blocks").alias("k", "left"))
-    spread = lefts.select("b", "k", "left", F.posexplode(F.slice("blocks", F.col("k") + 1, F.size("blocks"))).alias("d", "right")).repartition("b", "k", "d")
-    pairs = spread.select(F.explode("left").alias("item_a"), "right").select("item_a", F.explode("right").alias("item_b")).where("item_a < item_b")
-    counted = pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_together)
+    able = marginal.where((F.col("n") >= min_together) & (F.col("n") * F.lit(min_lift) <= F.lit(n_baskets)))
+    rows = cut_lineage(once.join(able.select("i"), "i").select("b", "i"))  # read four times below
+    kept = rows.groupBy("i").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("b").agg(F.count("*").alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    placed = salted_lookup(rows, sizes, "b", "m", hot_rows=hot_threshold(rows.count())).select("b", "i", F.pmod(F.xxhash64("i"), blocks).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    of = lambda k: F.collect_list(F.when(F.col("k") == F.col(k), F.col("i")))
+    cells = placed.withColumn("x", F.least("k", "j")).withColumn("y", F.greatest("k", "j")).groupBy("b", "x", "y").agg(of("x").alias("left"), of("y").alias("right"))
+    pairs = cells.select("x", "y", F.explode("left").alias("l"), "right").select("x", "y", "l", F.explode("right").alias("r")).where("x < y OR l < r")
+    counted = pairs.groupBy(F.least("l", "r").alias("item_a"), F.greatest("l", "r").alias("item_b")).agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_together)
     side = lambda s: kept.select(F.col("i").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"))
     lift = F.col("n_ab") * F.lit(float(n_baskets)) / (F.col("n_a") * F.col("n_b"))
     return (
