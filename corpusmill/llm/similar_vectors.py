@@ -31,7 +31,8 @@ def usable_vectors(matrix: DataFrame, ids: DataFrame, dimension: int = DIMENSION
     """row_ix and embedding, once each, of vectors with `dimension` finite elements, not all zero, whose row_ix is in ids."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = matrix.where((F.size("embedding") == dimension) & finite & F.exists("embedding", lambda x: x != 0))
-    return good.select("row_ix", "embedding").join(ids.select("row_ix").distinct(), "row_ix", "left_semi").groupBy("row_ix").agg(F.min("embedding").alias("embedding"))
+    once = good.groupBy("row_ix").agg(F.min("embedding").alias("embedding"))  # before the join: copies of a row shrink where they are scanned
+    return once.join(ids.select("row_ix").distinct(), "row_ix", "left_semi")
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
