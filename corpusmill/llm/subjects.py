@@ -256,17 +256,17 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, samp
         features = Features()
         for b in batches:
             rows = []
-            for labels, text in zip(b["labels"], b["text"]):
+            for doc, labels, text in zip(b["doc_id"], b["labels"], b["text"]):
                 found = [features.of(s) for s in sentences(text)]
                 if found:
-                    rows.append((labels, [len(f) for f in found], [i for f in found for i in f]))
+                    rows.append((doc, labels, [len(f) for f in found], [i for f in found for i in f]))
             if rows:
-                yield pd.DataFrame(rows, columns=["labels", "sizes", "features"])
+                yield pd.DataFrame(rows, columns=["doc_id", "labels", "sizes", "features"])
 
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "labels array<string>, sizes array<int>, features array<int>")
-    got = sample.toArrow()
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, f"doc_id {dict(documents.dtypes)['doc_id']}, labels array<string>, sizes array<int>, features array<int>")
+    got = sample.toArrow().sort_by("doc_id")  # so that the model doesn't depend on how the rows are spread
     docs = [(r.as_py(), n.values.to_numpy(), f.values.to_numpy()) for r, n, f in zip(got.column("labels"), got.column("sizes"), got.column("features"))]
-    return fit(docs, df, documents.count(), known)
+    return fit(docs, df, documents.where("text IS NOT NULL").count(), known)
 
 
 def document_subjects(documents: DataFrame, model: SubjectModel, share: float = SHARE) -> DataFrame:
