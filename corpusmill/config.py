@@ -12,3 +12,7 @@ TRACKING = ["utm_", "ref", "fbclid", "gclid", "mc_cid", "mc_eid"]
 #: Names of documents about the collection itself, at its root.
 META_DOCUMENTS = ["PROCESS_NEW_FILE.md", "PROCESS_HEALTH_CHECK.md", "PROCESS_QUERY.md", "PROCESS_DIRECTORY.md", "README.md", "log.md", "llm-wiki.md", "open_questions.md", "SYNTHESIS.md"]
 RECALL_AT, NDCG_AT, MRR_AT = 20, 10, 10
+#: Marks of page metadata in an author field, and titles that only name a site.
+SUSPECT_AUTHORS = ["Authority control databases", "CONTRIBUTORS ", "MusicBrainz"]
+SITE_TITLES = ["lesswrong", "wikipedia", "reddit", "twitter", "x", "github"]
+LONGEST_AUTHOR = 200

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill import config as C
+
 #: Titles that say nothing.
 EMPTY_TITLES = ["", "untitled", "null", "none", "nan", "~", "-", "n/a", "title", "home", "index", "document", "no title", "tbd", "unknown"]
 
@@ -38,8 +40,9 @@ def fixed_title(title: Column, url: Column, filename: Column) -> Column:
     spaced = join_spaced_capitals(title)
     u, f = from_url(url), from_slug(filename)
     give = lambda v, r: F.struct(v.alias("value"), F.lit(r).alias("reason"))
+    site = F.lower(F.regexp_replace(F.trim(title), r"^[\"']+|[\"']+$", "")).isin(C.SITE_TITLES)
     return (
-        F.when(is_meaningless(title) & ~is_meaningless(u), give(u, "from url")).when(is_meaningless(title) & ~is_meaningless(f), give(f, "from file name"))
+        F.when(site & ~is_meaningless(u), give(u, "site name")).when(is_meaningless(title) & ~is_meaningless(u), give(u, "from url")).when(is_meaningless(title) & ~is_meaningless(f), give(f, "from file name"))
         .when(is_meaningless(title), give(F.lit(""), "meaningless")).when(spaced != title, give(spaced, "spaced capitals")).otherwise(give(F.trim(title), ""))
     )
 

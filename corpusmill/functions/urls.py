@@ -39,6 +39,12 @@ def handler(c: Column) -> Column:
     return F.when(F.regexp_like(u, F.lit(r"^https?://([a-z0-9.]+\.)?arxiv\.org/")), "arxiv").when(F.regexp_like(u, F.lit(r"\.pdf([?#].*)?$")), "pdf").when(u != "", "web")
 
 
+def fetched_url(c: Column) -> Column:
+    """The address a fetch takes, and hashes: an arXiv paper's one PDF address, else the URL itself."""
+    number = F.regexp_extract(c, r"arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,6})", 1)
+    return F.when(number != "", F.concat(F.lit("https://arxiv.org/pdf/"), number, F.lit(".pdf"))).otherwise(F.trim(c))
+
+
 def url_hash(c: Column) -> Column:
     """First 8 hex digits of the sha1."""
     return F.substring(F.sha1(c), 1, 8)
@@ -83,3 +89,16 @@ def clean_day(c: Column) -> Column:
 def scrub(c: Column) -> Column:
     """Control characters other than tab and newline as blanks."""
     return F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", " ")
+
+
+def day_problem(c: Column, today: Column) -> Column:
+    """Why a text that begins with an ISO day is dropped as a day of publication; null if it is kept or has another notation."""
+    iso = F.regexp_extract(F.trim(c), r"^(\d{4}-\d{2}-\d{2})", 1)
+    now = F.date_format(today, "yyyy-MM-dd")
+    return F.when(iso == "", None).when(iso == now, "today").when(iso.endswith("-01-01"), "first of January").when(iso > now, "in the future").when(iso < "2010", "before 2010")
+
+
+def author_problem(c: Column) -> Column:
+    """Why an author is dropped; null if kept."""
+    found = [F.when(F.contains(c, F.lit(x)), F.lit(f"contains {x.strip()}")) for x in C.SUSPECT_AUTHORS]
+    return F.coalesce(*found, F.when(F.length(F.trim(c)) > C.LONGEST_AUTHOR, F.lit("too long")))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import canonical_title, canonical_url, hash_suffix, host_of
+from corpusmill.operators.skew import hot_threshold, salted_lookup
+from corpusmill.session import cut_lineage
 
 PRIORITY = {"canonical_url": 1, "title_host": 2, "content_hash": 3, "hash_suffix": 4}
 
@@ -35,26 +37,32 @@ def keyed(sources: DataFrame, key: str = "row_id", url: str = "url", title: str
     return sources.select(key, F.explode(options).alias("o")).where("o.k IS NOT NULL").select(key, F.col("o.t").alias("group_type"), F.col("o.k").alias("group_key"))
 
 
+def _group(df: DataFrame) -> DataFrame:
+    return df.withColumn("g", F.concat_ws("\x00", "group_type", "group_key"))
+
+
 def duplicate_groups(keys: DataFrame, key: str = "row_id") -> DataFrame:
     """group_type, group_key, key, size of groups of two or more, without those contained in a group of an earlier type.
 
     A group lies inside an earlier one exactly if all its members share one earlier group, so members are
     matched by key: for each pair of groups with a common member the common members are counted, which takes
     one equi-join on the member and never compares groups that have nothing in common. A member is in at
-    most one group of each type.
+    most one group of each type. Sizes go to the members by salted joins, so a group may hold any share of the rows.
     """
-    sizes = keys.groupBy("group_type", "group_key").agg(F.count("*").alias("size")).where("size > 1")
-    members = keys.join(sizes, ["group_type", "group_key"])
+    rows = cut_lineage(_group(keys))  # read several times below
+    hot = hot_threshold(rows.count())
+    sizes = rows.groupBy("g", "group_type").agg(F.count("*").alias("size")).where("size > 1")
     order = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
-    ranked = members.withColumn("p", order[F.col("group_type")])
+    ranked = salted_lookup(rows.select(key, "g"), sizes.select("g", "size", order[F.col("group_type")].alias("p")), "g", "size", hot_rows=hot)
     later = ranked.alias("x").join(ranked.alias("y"), key).where("y.p < x.p")
-    inside = later.groupBy("x.group_type", "x.group_key", "x.size", "y.group_type", "y.group_key").agg(F.count("*").alias("common"))
-    inside = inside.where("common = size").select(F.col("x.group_type").alias("group_type"), F.col("x.group_key").alias("group_key")).distinct()
-    return members.join(inside, ["group_type", "group_key"], "left_anti").select("group_type", "group_key", key, "size")
+    inside = later.groupBy(F.col("x.g").alias("g"), F.col("x.size").alias("size"), F.col("y.g").alias("other")).agg(F.count("*").alias("common"))
+    left = sizes.select("g", "size").join(inside.where("common = size").select("g").distinct(), "g", "left_anti")
+    return salted_lookup(rows, left, "g", "size", hot_rows=hot).select("group_type", "group_key", key, "size")
 
 
 def winners(groups: DataFrame, scored: DataFrame, key: str = "row_id") -> DataFrame:
-    """groups with richness and winner: the richest member, ties to the smaller key."""
-    rows = groups.join(scored.select(key, "richness"), key)
-    best = rows.groupBy("group_type", "group_key").agg(F.max_by(F.col(key), F.struct("richness", (-F.col(key)).alias("n"))).alias("best"))
-    return rows.join(best, ["group_type", "group_key"]).select("group_type", "group_key", key, "size", "richness", (F.col(key) == F.col("best")).alias("winner"))
+    """groups with richness and winner: the richest member, ties to the smaller key. The winner goes to the members by a salted join."""
+    rows = _group(groups.join(scored.select(key, "richness"), key))
+    best = rows.groupBy("g").agg(F.max_by(F.col(key), F.struct("richness", (-F.col(key)).alias("n"))).alias("best"), F.count("*").alias("members"))
+    found = salted_lookup(rows, best, "g", "members", hot_rows=hot_threshold(len(PRIORITY) * scored.count()))
+    return found.select("group_type", "group_key", key, "size", "richness", (F.col(key) == F.col("best")).alias("winner"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import markdown as M
 from corpusmill.functions import urls as U
 from corpusmill.functions.text import split_cell
 from corpusmill.functions.titles import fixed_title
@@ -154,6 +155,29 @@ def scrubbed(spark, d):
     return table(spark, d, "documents").where(t != F.col("text")).select("doc_id", F.md5(t).alias("digest"))
 
 
+def metadata_changes(spark, d):
+    """Days and authors that a rule drops, and why: the change log. Today is the day of the row's last update."""
+    drop = lambda f, why: F.struct(F.lit(f).alias("field"), F.col(f).alias("old"), why.alias("reason"))
+    rules = F.array(drop("published", U.day_problem(F.col("published"), F.col("updated_at"))), drop("author", U.author_problem(F.col("author"))))
+    return _sources(spark, d).select("row_id", F.explode(rules).alias("c")).select("row_id", "c.*").where("reason IS NOT NULL")
+
+
+def fetch_claims(spark, d):
+    """Each address a fetch would take, once: hash, its number of rows, and the row that claims it."""
+    rows = _sources(spark, d).where("url IS NOT NULL").select("row_id", U.url_hash(U.fetched_url(F.col("url"))).alias("h"))
+    return rows.groupBy("h").agg(F.count("*").alias("n_rows"), F.min("row_id").alias("row_id"))
+
+
+def front_fields(spark, d):
+    """The fields of every document's top block."""
+    return table(spark, d, "documents").select("doc_id", F.explode(M.front_fields(F.col("text"))).alias("f")).select("doc_id", "f.field", "f.value")
+
+
+def code_lines(spark, d):
+    """Documents with fences: how many, and how many lines they hold."""
+    return table(spark, d, "documents").select("doc_id", M.code_lines(F.col("text")).alias("c")).select("doc_id", "c.fences", "c.lines").where("fences > 0")
+
+
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _U = "trim(regexp_replace({c}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
 _CANON = f"""CASE WHEN regexp_matches({_U.format(c='url')}, '{_URL}') THEN lower(regexp_extract(u, '{_URL}', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '{_URL}', 2)), '^www\\.', '')
@@ -174,7 +198,7 @@ _SIDE = "side AS (SELECT filename, max(row_id) AS row_id, arg_max(coalesce(sourc
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_urls, canonical_titles, url_handlers, first_per_handler, fetched_markers, title_fixes, name_slugs, clean_days, short_hashes, path_parts, list_cells, sidecar_last_wins, files_with_sidecar, refetch_guard, duplicate_groups, duplicate_winners, duplicate_summary, exact_texts, vocabulary_drift, trigger_hits, sentence_packs, document_chunks, summaries, scrubbed)
+    for f in (canonical_urls, canonical_titles, url_handlers, first_per_handler, fetched_markers, title_fixes, name_slugs, clean_days, short_hashes, path_parts, list_cells, sidecar_last_wins, files_with_sidecar, refetch_guard, duplicate_groups, duplicate_winners, duplicate_summary, exact_texts, vocabulary_drift, trigger_hits, sentence_packs, document_chunks, summaries, scrubbed, metadata_changes, fetch_claims, front_fields, code_lines)
 }
 SQL = {
     "canonical_urls": f"WITH {_SRC} SELECT row_id, coalesce(canonical, '') AS canonical, host FROM src",
@@ -212,4 +236,17 @@ SQL = {
     "summaries": r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r\n\f]*\n'), lambda x: regexp_replace(x, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')), lambda x: x <> '' AND NOT (starts_with(x, '#') AND length(x) < 80)) AS ps FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, coalesce(array_to_string(string_split(regexp_replace(ps[1], '([.!?])[ \t\r\n\f]+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1))[1:4], ' '), '') AS summary FROM p""",
     "scrubbed": r"""WITH x AS (SELECT doc_id, text, regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F]', ' ', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS digest FROM x WHERE t <> text""",
+    "metadata_changes": r"""WITH x AS (SELECT row_id, published, author, regexp_extract(trim(published), '^(\d{4}-\d{2}-\d{2})', 1) AS iso, strftime(updated_at, '%Y-%m-%d') AS now FROM notion_sources),
+      c AS (SELECT row_id, 'published' AS field, published AS old, CASE WHEN iso = '' THEN NULL WHEN iso = now THEN 'today' WHEN iso LIKE '%-01-01' THEN 'first of January' WHEN iso > now THEN 'in the future' WHEN iso < '2010' THEN 'before 2010' END AS reason FROM x
+        UNION ALL SELECT row_id, 'author', author, CASE WHEN contains(author, 'Authority control databases') THEN 'contains Authority control databases' WHEN contains(author, 'CONTRIBUTORS ') THEN 'contains CONTRIBUTORS'
+          WHEN contains(author, 'MusicBrainz') THEN 'contains MusicBrainz' WHEN length(trim(author)) > 200 THEN 'too long' END FROM x)
+      SELECT * FROM c WHERE reason IS NOT NULL""",
+    "fetch_claims": r"""WITH u AS (SELECT row_id, trim(url) AS u, regexp_extract(url, 'arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,6})', 1) AS a FROM notion_sources WHERE url IS NOT NULL)
+      SELECT substr(sha1(CASE WHEN a <> '' THEN 'https://arxiv.org/pdf/' || a || '.pdf' ELSE u END), 1, 8) AS h, count(*) AS n_rows, min(row_id) AS row_id FROM u GROUP BY 1""",
+    "front_fields": r"""WITH b AS (SELECT doc_id, regexp_extract(text, '^(?:\x{FEFF})?---[ \t]*\r?\n((?:[^\n]*\n)*?)---[ \t]*(?:\r?\n|\z)', 1) AS block FROM documents WHERE text IS NOT NULL),
+      f AS (SELECT doc_id, unnest(regexp_extract_all(block, '(?m)^([A-Za-z_][A-Za-z0-9_-]*)[ \t]*:[ \t]*([^\r\n]*)', 1)) AS field, unnest(regexp_extract_all(block, '(?m)^([A-Za-z_][A-Za-z0-9_-]*)[ \t]*:[ \t]*([^\r\n]*)', 2)) AS value FROM b)
+      SELECT doc_id, field, regexp_replace(value, '^[ \t''"]+|[ \t''"]+$', '', 'g') AS value FROM f""",
+    "code_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE contains(text, '```')),
+      f AS (SELECT *, regexp_matches(x, '^[ \t]*```') AS fence FROM l), s AS (SELECT *, sum(fence::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS open FROM f)
+      SELECT doc_id, sum(fence::INTEGER)::INTEGER AS fences, sum((NOT fence AND open % 2 = 1)::INTEGER)::INTEGER AS lines FROM s GROUP BY doc_id HAVING sum(fence::INTEGER) > 0""",
 }

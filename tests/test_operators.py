@@ -3,9 +3,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import markdown as M
 from corpusmill.functions import urls as U
 from corpusmill.functions.text import raw_tokens, token_estimate, word_count
-from corpusmill.operators import chunking, delta, duplicates, evaluation, facets, graph
+from corpusmill.operators import chunking, delta, duplicates, evaluation, facets, graph, skew
 from corpusmill.operators.dense import cosine_pairs, dense_topk
 from corpusmill.operators.fusion import rrf
 from corpusmill.functions import titles
@@ -266,3 +267,31 @@ def test_expand_hops_decay(spark):
     assert [r.file_id for r in graph.expand_hops(seeds, e, 1).collect()] == ["b"]
     assert sorted(r.file_id for r in graph.expand_hops(seeds, e, 2, 0.5).collect()) == ["b", "c"]
     assert [r.file_id for r in graph.expand_hops(seeds, e, 2, 0.25).collect()] == ["b"]
+
+
+def test_front_fields_fences_and_marked_names(spark):
+    texts = ["---\ntitle: 'A b'\ntags: [x]\n---\nbody `one` and `two`\n```\na\nb\n```\nend", "no block\n---\nx: y", "```\nopen", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select(M.front_fields(F.col("t")).alias("f"), M.code_lines(F.col("t")).alias("c"), M.marked_names(F.col("t")).alias("m"), M.field_line(F.col("t"), "x").alias("x")).orderBy("i").collect()
+    assert [(p.field, p.value) for p in got[0].f] == [("title", "A b"), ("tags", "[x]")] and got[1].f == [] and got[4].f is None
+    assert [(r.c.fences, r.c.lines) for r in got[:4]] == [(2, 2), (0, 0), (1, 1), (0, 0)] and got[4].c is None
+    assert got[0].m == ["one", "two"] and [r.x for r in got] == [None, "y", None, None, None]
+    assert df.where("i = 1").select(M.with_field(F.col("t"), "x", "$1")).first()[0] == "no block\n---\nx: $1"
+
+
+def test_fetched_url_and_change_rules(spark):
+    df = spark.createDataFrame([("https://arxiv.org/abs/2101.01234v2", "2024-05-05", "A B"), (" https://a.example/x ", "2020-01-01", "CONTRIBUTORS here"), ("x", "2030-02-02", "n" * 201), (None, "spring", None)], "u string, p string, a string")
+    day = F.lit("2024-05-05").cast("date")
+    got = df.select(U.fetched_url(F.col("u")), U.day_problem(F.col("p"), day), U.author_problem(F.col("a"))).collect()
+    assert [tuple(r) for r in got] == [("https://arxiv.org/pdf/2101.01234.pdf", "today", None), ("https://a.example/x", "first of January", "contains CONTRIBUTORS"), ("x", "in the future", "too long"), (None, None, None)]
+
+
+def test_groups_of_any_size_keep_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    keys = [(i, "canonical_url", "u") for i in range(20)] + [(i, "title_host", "t") for i in range(10)] + [(i, "hash_suffix", "s") for i in range(15, 25)] + [(30, "title_host", "alone")]
+    df = spark.createDataFrame(keys, "row_id long, group_type string, group_key string")
+    groups = duplicates.duplicate_groups(df)
+    assert sorted((r.group_type, r.row_id, r["size"]) for r in groups.collect()) == sorted([("canonical_url", i, 20) for i in range(20)] + [("hash_suffix", i, 10) for i in range(15, 25)])
+    scored = spark.createDataFrame([(i, 5 if i in (7, 9, 22) else 1) for i in range(31)], "row_id long, richness int")
+    assert sorted((r.group_type, r.row_id) for r in duplicates.winners(groups, scored).where("winner").collect()) == [("canonical_url", 7), ("hash_suffix", 22)]
+    assert duplicates.duplicate_groups(df.where("false")).count() == 0
