@@ -45,6 +45,12 @@ def fetched_url(c: Column) -> Column:
     return F.when(number != "", F.concat(F.lit("https://arxiv.org/pdf/"), number, F.lit(".pdf"))).otherwise(F.trim(c))
 
 
+def arxiv_id(c: Column) -> Column:
+    """The arXiv number that stands on its own in an address or a file name; null if there is none."""
+    x = F.regexp_extract(c, r"(?<![0-9.])([0-9]{4}\.[0-9]{4,6})(?![0-9])", 1)
+    return F.when(x != "", x)
+
+
 def url_hash(c: Column) -> Column:
     """First 8 hex digits of the sha1."""
     return F.substring(F.sha1(c), 1, 8)

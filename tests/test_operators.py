@@ -295,3 +295,20 @@ def test_groups_of_any_size_keep_their_rows(spark, monkeypatch):
     scored = spark.createDataFrame([(i, 5 if i in (7, 9, 22) else 1) for i in range(31)], "row_id long, richness int")
     assert sorted((r.group_type, r.row_id) for r in duplicates.winners(groups, scored).where("winner").collect()) == [("canonical_url", 7), ("hash_suffix", 22)]
     assert duplicates.duplicate_groups(df.where("false")).count() == 0
+
+
+def test_refetch_guard_keeps_sources_without_a_suffix(spark, tmp_path):
+    import hashlib
+
+    from corpusmill.plans import ingest
+
+    sha = lambda u: hashlib.sha1(u.encode()).hexdigest()[:8]
+    rows = [
+        (1, "a_0a0a0a0a.md", "https://e.org/1"), (2, "b.md", "https://e.org/2"), (3, "c.md", " https://e.org/2 "), (4, "d.md", "https://e.org/4"), (5, "e.md", None), (6, "f.md", " "), (7, None, "https://e.org/7"),
+        (8, "g.md", "https://arxiv.org/abs/2101.01234v2"), (9, "h.md", "https://arxiv.org/abs/2202.00002"), (10, "i.md", "https://arxiv.org/html/2202.00002"), (11, "j_0b0b0b0b.md", "https://e.org/11"),
+    ]
+    files = [(f"x/y_{sha('https://e.org/4')}.md",), ("x/arxiv_2101.01234_ffffffff.pdf",), (f"x/_trash/y_{sha('https://e.org/7')}.md",), ("z_0a0a0a0a.md",)]
+    spark.createDataFrame(rows, "row_id long, filename string, url string").write.parquet(str(tmp_path / "notion_sources.parquet"))
+    spark.createDataFrame(files, "relpath string").write.parquet(str(tmp_path / "files.parquet"))
+    got = {r.row_id: r.h for r in ingest.refetch_guard_addresses(spark, str(tmp_path)).collect()}
+    assert got == {2: sha("https://e.org/2"), 7: sha("https://e.org/7"), 9: sha("https://arxiv.org/pdf/2202.00002.pdf"), 11: "0b0b0b0b"}
