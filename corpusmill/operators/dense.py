@@ -79,6 +79,7 @@ def cosine_pairs(vectors: DataFrame, key: str, vector: str, floor: float, bands:
     Candidates share a band of random-hyperplane signs; each is then checked exactly. A pair at cosine 0.88
     is missed with probability below 2e-4 at 64 bands of 12 bits, nearer pairs with less. Equal vectors are
     compared once and come back to their pairs by the class of equal vectors, so copies don't swell a band.
+    All pairs are returned, those within a class at cosine 1 included: a class of n copies gives n (n - 1) / 2.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("h", F.xxhash64("v"))
     reps = rows.groupBy("h").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
@@ -106,5 +107,5 @@ def cosine_pairs(vectors: DataFrame, key: str, vector: str, floor: float, bands:
     kept = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= floor)
     classes = reps.select("h", F.col("id").alias("rep")).join(rows.select("h", "id"), "h").select("rep", "id")
     wide = kept.join(classes.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(classes.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
-    same = classes.where("id <> rep").select(F.col("rep").alias("ia"), F.col("id").alias("ib"), F.lit(1.0).alias("cosine"))  # a copy is linked to its class's first
+    same = classes.alias("x").join(classes.alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("ia"), F.col("y.id").alias("ib"), F.lit(1.0).alias("cosine"))
     return wide.select("ia", "ib", "cosine").unionByName(same).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "cosine")

@@ -312,3 +312,17 @@ def test_refetch_guard_keeps_sources_without_a_suffix(spark, tmp_path):
     spark.createDataFrame(files, "relpath string").write.parquet(str(tmp_path / "files.parquet"))
     got = {r.row_id: r.h for r in ingest.refetch_guard_addresses(spark, str(tmp_path)).collect()}
     assert got == {2: sha("https://e.org/2"), 7: sha("https://e.org/7"), 9: sha("https://arxiv.org/pdf/2202.00002.pdf"), 11: "0b0b0b0b"}
+
+
+def test_all_pairs_of_copies_are_linked(spark):
+    import itertools
+
+    copy, near = [1.0, 0.0, 0.0, 0.0], [0.96, 0.28, 0.0, 0.0]
+    df = spark.createDataFrame([(i, copy) for i in range(5)] + [(5, near), (6, near), (7, [0.0, 0.0, 1.0, 0.0])], "id long, vector array<double>")
+    pairs = cosine_pairs(df, "id", "vector", 0.88)
+    got = {(r.a, r.b): round(r.cosine, 6) for r in pairs.collect()}
+    assert pairs.count() == len(got) and got == {(a, b): 0.96 if a < 5 <= b else 1.0 for a, b in itertools.combinations(range(7), 2)}
+    members = spark.createDataFrame([("1", "tag", "x")], "file_id string, kind string, item string").where("false")
+    cosines = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "cosine")
+    edges = graph.first_order(members, cosines.select("a", "b").where("false"), cosines, 1.0)
+    assert {(r.a, r.b): r.embedding for r in edges.collect()} == {(str(a), str(b)): 2 * c for (a, b), c in got.items()}
