@@ -16,3 +16,9 @@ RECALL_AT, NDCG_AT, MRR_AT = 20, 10, 10
 SUSPECT_AUTHORS = ["Authority control databases", "CONTRIBUTORS ", "MusicBrainz"]
 SITE_TITLES = ["lesswrong", "wikipedia", "reddit", "twitter", "x", "github"]
 LONGEST_AUTHOR = 200
+#: Acronyms that a query is expanded by, both ways.
+ACRONYMS = {
+    "RLHF": "reinforcement learning from human feedback", "RSP": "responsible scaling policy", "ASL": "AI safety level", "CBRN": "chemical biological radiological nuclear", "ELK": "eliciting latent knowledge",
+    "RMU": "representation misdirection unlearning", "CoT": "chain of thought", "SAE": "sparse autoencoder", "DPO": "direct preference optimization", "PPO": "proximal policy optimization",
+    "MMLU": "massive multitask language understanding", "FSF": "frontier safety framework", "CCL": "critical capability level", "RAG": "retrieval augmented generation",
+}

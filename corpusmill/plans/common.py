@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill import config as C
+from corpusmill.functions.text import raw_tokens
 from corpusmill.operators.delta import current_chunks
 from corpusmill.operators.dense import unit, usable
+from corpusmill.operators.lexical import Lexicon
 from corpusmill.sources.tables import table
 
 DIMENSION = 128
@@ -17,6 +20,13 @@ def chunks(spark, d) -> DataFrame:
     return current_chunks(table(spark, d, "chunks"))
 
 
+def lexicon(spark, d) -> Lexicon:
+    """The default of a ranking: the vocabulary's concepts and tags as phrases, the fixed acronyms, and stems."""
+    names = [r.name for r in table(spark, d, "vocab_terms").where("kind IN ('concept', 'tag') AND name IS NOT NULL").select("name").distinct().collect()]  # fixed table
+    words = spark.createDataFrame([("phrase", n, n) for n in names] + [("acronym", a, x) for a, x in C.ACRONYMS.items()], "kind string, name string, x string").select("kind", "name", raw_tokens(F.col("x")).alias("t")).collect()
+    return Lexicon([r.t for r in words if r.kind == "phrase"], {r.name: r.t for r in words if r.kind == "acronym"}, True)
+
+
 def questions(spark, d, column: str = "title") -> DataFrame:
     """The stated query set: every log entry whose id is divisible by 50."""
     return table(spark, d, "log_entries").where(f"log_id % 50 = 0 AND {column} IS NOT NULL").select(F.col("log_id").alias("qid"), F.col(column).alias("query"))

@@ -9,8 +9,8 @@ from corpusmill.functions.text import raw_tokens, token_estimate
 from corpusmill.operators import evaluation as E
 from corpusmill.operators.dense import dense_topk
 from corpusmill.operators.fusion import rrf
-from corpusmill.operators.lexical import bm25, corpus_stats, join_phrases, postings, rerank
-from corpusmill.plans.common import CUR, KEYS, QS, VEC, bm25_sql, chunks, questions, tokens_sql, vectors
+from corpusmill.operators.lexical import RAW, bm25, corpus_stats, join_phrases, postings, rerank
+from corpusmill.plans.common import CUR, KEYS, QS, VEC, bm25_sql, chunks, lexicon, questions, tokens_sql, vectors
 from corpusmill.sources.tables import table
 
 
@@ -26,27 +26,27 @@ def pool_stats(spark, d):
     return corpus_stats(chunks(spark, d), "text").select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def bm25_topk(spark, d):
-    return bm25(questions(spark, d), chunks(spark, d), KEYS)
+def bm25_topk(spark, d, lex=RAW):
+    return bm25(questions(spark, d), chunks(spark, d), KEYS, lexicon=lex)
 
 
-def bm25_vocabulary(spark, d):
+def bm25_vocabulary(spark, d, lex=RAW):
     """The best chunks for each name of the vocabulary."""
     names = table(spark, d, "vocab_terms").where("name IS NOT NULL").select(F.col("name").alias("qid"), F.col("name").alias("query")).distinct()
-    return bm25(names, chunks(spark, d), KEYS)
+    return bm25(names, chunks(spark, d), KEYS, lexicon=lex)
 
 
 def _filtered(spark, d):
     return chunks(spark, d).where(F.exists("tags", lambda t: F.lower(F.trim(t)) == "goal-drift") & F.lower("relpath").endswith(".md"))
 
 
-def bm25_filtered(spark, d):
+def bm25_filtered(spark, d, lex=RAW):
     """Filters apply before the statistics: they are those of the filtered pool."""
-    return bm25(questions(spark, d), _filtered(spark, d), KEYS)
+    return bm25(questions(spark, d), _filtered(spark, d), KEYS, lexicon=lex)
 
 
-def bm25_explain(spark, d):
-    r = bm25(questions(spark, d), chunks(spark, d), KEYS, k=3, explain=True)
+def bm25_explain(spark, d, lex=RAW):
+    r = bm25(questions(spark, d), chunks(spark, d), KEYS, k=3, explain=True, lexicon=lex)
     return r.select("qid", *KEYS, "rank", F.array_join(F.array_sort(F.map_keys("terms")), " ").alias("terms"))
 
 
@@ -66,10 +66,10 @@ def stemmed_terms(spark, d):
     return words.join(stems(words.select("term")), "term").groupBy("stem").agg(F.count_distinct("log_id").alias("n"))
 
 
-def reranked(spark, d):
+def reranked(spark, d, lex=RAW):
     """The 40 best of each question scored again by the share of its words they hold."""
     pool = chunks(spark, d)
-    return rerank(bm25(questions(spark, d), pool, KEYS, k=C.RERANK_POOL), questions(spark, d), pool, KEYS, 8)
+    return rerank(bm25(questions(spark, d), pool, KEYS, k=C.RERANK_POOL, lexicon=lex), questions(spark, d), pool, KEYS, 8)
 
 
 def _dense(spark, d, k):
@@ -81,44 +81,44 @@ def dense_nearest(spark, d):
     return _dense(spark, d, 8)
 
 
-def _hybrid_lists(spark, d, k):
+def _hybrid_lists(spark, d, k, lex=RAW):
     v = vectors(spark, d).select("row_ix", *KEYS)
     asked = v.where("row_ix % 50 = 0").join(chunks(spark, d).select(*KEYS, "heading_path"), KEYS).where("heading_path IS NOT NULL")
-    lexical = bm25(asked.select(F.col("row_ix").alias("qid"), F.col("heading_path").alias("query")), chunks(spark, d), KEYS, k=k)
+    lexical = bm25(asked.select(F.col("row_ix").alias("qid"), F.col("heading_path").alias("query")), chunks(spark, d), KEYS, k=k, lexicon=lex)
     near = _dense(spark, d, k).join(v, "row_ix").groupBy("qid", *KEYS).agg(F.min("rank").alias("rank"))
     return lexical, near
 
 
-def hybrid_rrf(spark, d):
+def hybrid_rrf(spark, d, lex=RAW):
     """Lexical and dense lists of the same queries fused, each oversampled."""
-    return rrf(list(_hybrid_lists(spark, d, 8 * C.OVERSAMPLE)), KEYS, 8)
+    return rrf(list(_hybrid_lists(spark, d, 8 * C.OVERSAMPLE, lex)), KEYS, 8)
 
 
-def multi_query_rrf(spark, d):
+def multi_query_rrf(spark, d, lex=RAW):
     """Title and body of an entry as two wordings of one question, their lists fused."""
-    lists = [bm25(questions(spark, d, c), chunks(spark, d), KEYS, k=24) for c in ("title", "body")]
+    lists = [bm25(questions(spark, d, c), chunks(spark, d), KEYS, k=24, lexicon=lex) for c in ("title", "body")]
     return rrf(lists, KEYS, 8)
 
 
-def _runs(spark, d):
+def _runs(spark, d, lex=RAW):
     """Two runs over the same queries, and as relevant the files of vectors within cosine 0.8 of the query's."""
-    lexical, near = _hybrid_lists(spark, d, 40)
+    lexical, near = _hybrid_lists(spark, d, 40, lex)
     relevant = _dense(spark, d, 10).where("score >= 0.8").join(vectors(spark, d).select("row_ix", "file_id"), "row_ix").select("qid", "file_id").distinct()
     return lexical, rrf([lexical, near], KEYS, 40), relevant
 
 
-def eval_per_query(spark, d):
-    lexical, _, relevant = _runs(spark, d)
+def eval_per_query(spark, d, lex=RAW):
+    lexical, _, relevant = _runs(spark, d, lex)
     return E.per_query(lexical, relevant)
 
 
-def eval_aggregate(spark, d):
-    rows = eval_per_query(spark, d).withColumn("split", E.split_of(F.col("qid").cast("string"))).withColumn("source", F.when(F.col("n_relevant") > 1, "many").otherwise("one"))
+def eval_aggregate(spark, d, lex=RAW):
+    rows = eval_per_query(spark, d, lex).withColumn("split", E.split_of(F.col("qid").cast("string"))).withColumn("source", F.when(F.col("n_relevant") > 1, "many").otherwise("one"))
     return E.aggregate(rows, "source")
 
 
-def eval_compare(spark, d):
-    lexical, fused, relevant = _runs(spark, d)
+def eval_compare(spark, d, lex=RAW):
+    lexical, fused, relevant = _runs(spark, d, lex)
     return E.compare(E.per_query(lexical, relevant), E.per_query(fused, relevant))
 
 
@@ -156,6 +156,9 @@ _BUCKET = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha1(
 _SPLIT = "CASE WHEN {b} < 30 THEN 'holdout' ELSE 'dev' END"
 
 QUERIES = {f.__name__: f for f in (term_counts, token_counts, pool_stats, bm25_topk, bm25_vocabulary, bm25_filtered, bm25_explain, phrase_terms, stemmed_terms, reranked, dense_nearest, hybrid_rrf, multi_query_rrf, eval_per_query, eval_aggregate, eval_compare, holdout_split)}
+#: The rankings with the default terms (phrases, acronyms, stems) carry _full; those on raw tokens are the variants compared with SQL.
+_RANKED = (bm25_topk, bm25_vocabulary, bm25_filtered, bm25_explain, reranked, hybrid_rrf, multi_query_rrf, eval_per_query, eval_aggregate, eval_compare)
+QUERIES |= {f"{f.__name__}_full": lambda spark, d, f=f: f(spark, d, lexicon(spark, d)) for f in _RANKED}
 _WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SQL = {
     "term_counts": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY ALL",

@@ -326,3 +326,24 @@ def test_all_pairs_of_copies_are_linked(spark):
     cosines = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "cosine")
     edges = graph.first_order(members, cosines.select("a", "b").where("false"), cosines, 1.0)
     assert {(r.a, r.b): r.embedding for r in edges.collect()} == {(str(a), str(b)): 2 * c for (a, b), c in got.items()}
+
+
+def test_bm25_matches_inflected_forms_acronyms_and_phrases(spark):
+    from corpusmill.operators.lexical import Lexicon
+
+    keys = ["file_id", "chunk_id"]
+    pool = spark.createDataFrame(
+        [("f1", "c0", "agents drifting drifted", "Drifts", "drift"), ("f2", "c0", "latent goal drift", None, None), ("f3", "c0", "goal of latent things", None, None), ("f4", "c0", "other words here now", None, None)],
+        "file_id string, chunk_id string, text string, title string, heading_path string",
+    )
+    asked = spark.createDataFrame([(1, "drift"), (2, "LGD"), (3, "goal")], "qid int, query string")
+    full = Lexicon([["latent", "goal", "drift"], ["goal", "drift"]], {"LGD": ["latent", "goal", "drift"]}, True)
+    got = {(r.qid, r.file_id): r.score for r in bm25(asked, pool, keys, lexicon=full).collect()}
+    assert set(got) == {(1, "f1"), (2, "f2"), (3, "f3")}
+    idf = math.log((4 - 1 + 0.5) / 1.5 + 1)  # one text of four holds the stem, twice among its 3 tokens; lengths are 3, 1, 4, 4
+    assert abs(got[1, "f1"] - (idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 3)) + 0.5 + 0.3)) < 1e-4
+    assert {(r.qid, r.file_id) for r in bm25(asked, pool, keys).collect()} == {(1, "f1"), (1, "f2"), (3, "f2"), (3, "f3")}
+
+
+def test_phrases_join_from_the_left(spark):
+    assert one(spark, join_phrases(F.split("t", " "), [["a1", "b1"], ["b1", "c1", "d1"]]), "t string", "a1 b1 c1 d1 a1 b1 a1 b1", "x a1 a1 b1 b1") == [["a1_b1", "c1", "d1", "a1_b1", "a1_b1"], ["x", "a1", "a1_b1", "b1"]]
