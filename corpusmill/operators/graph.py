@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill import config as C
+from corpusmill.operators.evaluation import first_hits
 from corpusmill.operators.ranking import numbered, overlapping_pairs
 from corpusmill.session import cut_lineage
 
@@ -147,13 +148,19 @@ def surprising(edges: DataFrame, nodes: DataFrame, labels: DataFrame, top: int =
     return s.orderBy(F.desc("surprise"), "a", "b").limit(top)
 
 
-def expand(seeds: DataFrame, edges: DataFrame, per_seed: int = C.PER_HOP, floor: float = C.EXPAND_FLOOR) -> DataFrame:
+def seed_files(hits: DataFrame, most: int = C.SEED_FILES) -> DataFrame:
+    """qid, file_id: the first `most` distinct files of each query's whole hit list (qid, file_id, rank)."""
+    return first_hits(hits).where(F.col("rank") <= most).select("qid", "file_id")
+
+
+def expand(seeds: DataFrame, edges: DataFrame, per_seed: int = C.PER_HOP, floor: float = C.EXPAND_FLOOR, seen: DataFrame | None = None) -> DataFrame:
     """qid, file_id, via, score: for each query's seed files their strongest neighbours that aren't seeds, each once, at its best score.
 
-    seeds: qid, file_id. A seed brings at most per_seed neighbours with an edge of at least floor.
+    seeds: qid, file_id. A seed brings at most per_seed neighbours with an edge of at least floor. seen (qid,
+    file_id; the seeds if not given) holds the files that aren't brought in again.
     """
     near = seeds.select("qid", F.col("file_id").alias("via")).join(both_ways(edges, "weight"), F.col("via") == F.col("node")).where(F.col("weight") >= floor)
-    fresh = near.join(seeds.select("qid", F.col("file_id").alias("nbr")), ["qid", "nbr"], "left_anti")
+    fresh = near.join((seen if seen is not None else seeds).select("qid", F.col("file_id").alias("nbr")), ["qid", "nbr"], "left_anti")
     order = Window.partitionBy("qid", "via").orderBy(F.desc("weight"), "nbr")
     kept = fresh.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_seed)
     best = kept.groupBy("qid", F.col("nbr").alias("file_id")).agg(F.max_by(F.struct("via", "weight"), F.struct("weight", "via")).alias("w"))

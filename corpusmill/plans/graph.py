@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill import config as C
 from corpusmill.operators import facets
 from corpusmill.operators import graph as G
 from corpusmill.operators.dense import cosine_pairs, mean_vectors
-from corpusmill.operators.lexical import bm25
-from corpusmill.plans.common import KEYS, VEC, chunks, questions, vectors
+from corpusmill.operators.fusion import rrf
+from corpusmill.plans.common import KEYS, VEC, lexicon, vectors
+from corpusmill.plans.search import _hybrid_lists
 from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import table
 
@@ -83,10 +85,19 @@ def surprising(spark, d):
     return G.surprising(e, table(spark, d, "files"), labels)
 
 
+#: The weights are lower for the same reason: the floor that lets some neighbours in, where the default is config.EXPAND_FLOOR.
+EXPAND_FLOOR = 1.5
+
+
+def _hits(spark, d):
+    """The fused list of each query of hybrid_rrf, as long as a reranker takes it."""
+    return cut_lineage(rrf(_hybrid_lists(spark, d, C.RERANK_POOL * C.OVERSAMPLE, lexicon(spark, d)), KEYS, C.RERANK_POOL))
+
+
 def expanded(spark, d):
-    """Files that neighbours of each question's best files bring in."""
-    hits = bm25(questions(spark, d), chunks(spark, d), KEYS, k=5).select("qid", "file_id").distinct()
-    return G.expand(hits, _edges(spark, d), floor=1.5)
+    """Files that neighbours of each query's first files bring in, those already hit left out."""
+    hits = _hits(spark, d)
+    return G.expand(G.seed_files(hits), _edges(spark, d), floor=EXPAND_FLOOR, seen=hits.select("qid", "file_id").distinct())
 
 
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

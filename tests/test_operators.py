@@ -347,3 +347,13 @@ def test_bm25_matches_inflected_forms_acronyms_and_phrases(spark):
 
 def test_phrases_join_from_the_left(spark):
     assert one(spark, join_phrases(F.split("t", " "), [["a1", "b1"], ["b1", "c1", "d1"]]), "t string", "a1 b1 c1 d1 a1 b1 a1 b1", "x a1 a1 b1 b1") == [["a1_b1", "c1", "d1", "a1_b1", "a1_b1"], ["x", "a1", "a1_b1", "b1"]]
+
+
+def test_expansion_seeds_are_five_files_of_the_whole_list(spark, monkeypatch):
+    from corpusmill.plans import graph as plan
+
+    hits = [("a", i) for i in range(1, 8)] + [("b", 8), ("a", 9), ("c", 10), ("d", 11), ("e", 12), ("f", 13)]
+    monkeypatch.setattr(plan, "_hits", lambda s, d: spark.createDataFrame([(1, f, f"c{r}", r) for f, r in hits], "qid int, file_id string, chunk_id string, rank int"), raising=False)
+    edges = [("a", "n1", 2.0), ("e", "n2", 2.0), ("f", "n3", 2.0), ("a", "f", 9.0), ("b", "n4", 1.0)]
+    monkeypatch.setattr(plan, "_edges", lambda s, d: spark.createDataFrame(edges, "a string, b string, weight double"))
+    assert sorted((r.file_id, r.via) for r in plan.expanded(spark, "").collect()) == [("n1", "a"), ("n2", "e")]
