@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.hnsw import BEAM_SEARCH, FlatHnsw
+from corpusmill.operators.dense import unit
 from corpusmill.operators.skew import hot_threshold, salted_lookup
 from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import table
@@ -25,6 +26,8 @@ MAX_CELLS = 4096
 PROBES = 3
 QUERY_BLOCK = 32_768
 SEARCH_K = 24
+#: Grids of by_direction, the numbers that place a vector in one, their step, and the largest difference of any component within a class.
+GRIDS, GRID_AXES, GRID_STEP, SAME_DIRECTION = 3, 3, 4e-6, 2e-7
 
 
 def usable_vectors(matrix: DataFrame, ids: DataFrame, dimension: int = DIMENSION) -> DataFrame:
@@ -60,6 +63,44 @@ def coarse_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 11
     return c
 
 
+def by_direction(rows: DataFrame, dimension: int, seed: int = 23) -> DataFrame:
+    """rows (id, v, h) with the h of the smallest id of the same direction, so that scaled copies share one h.
+
+    Scaled single-precision vectors differ by rounding, so no one way of rounding brings all of them together.
+    Each distinct vector is placed in a cell of three shifted grids over a few projections of its unit vector,
+    and the smallest id goes from cell to cell; a group that lies on the edge of one grid is joined by another.
+    Each one is then compared with its smallest, and keeps its own h unless they agree.
+    """
+    bits = cut_lineage(rows.groupBy("h").agg(F.min("id").alias("rep"), F.min_by("v", "id").alias("v"), F.count("*").alias("copies")))
+    hot = hot_threshold(bits.count())
+    rng = np.random.default_rng(seed)
+    axes = rng.standard_normal((dimension, GRIDS * GRID_AXES))
+    axes /= np.linalg.norm(axes, axis=0) * GRID_STEP
+    shift, mix = rng.random(GRIDS * GRID_AXES), rng.integers(1 << 62, size=GRID_AXES) | 1
+    names = [f"g{i}" for i in range(GRIDS)]
+
+    def cells(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = np.floor(_unit(_matrix(b.column("v"), dimension)) @ axes + shift).astype(np.int64).reshape(-1, GRIDS, GRID_AXES)
+            code = (at * mix).sum(2)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("rep"), b.column("rep"), *[pa.array(code[:, i]) for i in range(GRIDS)]], names=["h", "rep", "low", *names])
+
+    keys = cut_lineage(bits.select("h", "rep", "v").mapInArrow(cells, "h string, rep bigint, low bigint, " + ", ".join(f"{g} bigint" for g in names)))
+    for g in names:
+        shared = keys.groupBy(g).agg(F.min("low").alias("least"), F.count("*").alias("n")).where("n > 1")
+        keys = cut_lineage(salted_lookup(keys, shared, g, "n", "left", hot).withColumn("low", F.coalesce("least", "low")).drop("least", "n"))
+    moved = keys.where("low <> rep").select("h", "low")
+    firsts = moved.groupBy("low").agg(F.count("*").alias("n")).join(bits.select(F.col("rep").alias("low"), F.col("h").alias("first"), F.col("v").alias("w")), "low")
+    pairs = salted_lookup(moved.join(bits, "h"), firsts, "low", "n", hot_rows=hot)
+    apart = F.array_max(F.zip_with(unit(F.col("v")), unit(F.col("w")), lambda x, y: F.abs(x - y)))
+    same = cut_lineage(pairs.where(apart <= SAME_DIRECTION).select("h", "first", "copies"))
+    if same.isEmpty():
+        return rows
+    return salted_lookup(rows, same, "h", "copies", "left", hot).select("id", "v", F.coalesce("first", "h").alias("h"))
+
+
 def most_similar(
     vectors: DataFrame, key: str, embedding: str, k: int, dimension: int, min_similarity: float = -1.0,
     shard_rows: int = SHARD_ROWS, probes: int = PROBES, beam: int = BEAM_SEARCH, query_block: int = QUERY_BLOCK,
@@ -71,7 +112,7 @@ def most_similar(
     is approximate: measured against brute force, recall is above 0.99 of neighbours with similarity >= 0.7.
     Empty tables give no rows.
 
-    Equal vectors are indexed once, with their k + 1 smallest keys; each copy then gets its own list, so a
+    Vectors of one direction, equal or scaled, are indexed once (by_direction), with their k + 1 smallest keys; each copy then gets its own list, so a
     vector with a million copies costs one search. The coarse cells are fitted on at most SAMPLE_ROWS
     vectors (by hash of the key); every vector is indexed. A cell over shard_rows is cut into several
     shards by a hash, and queries search all of them; queries on one shard are taken query_block at a time,
@@ -79,6 +120,7 @@ def most_similar(
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v")).withColumn("h", F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0).cast("float")).cast("string"))), 256))
+    rows = by_direction(rows, dimension)
     first = Window.partitionBy("h").orderBy("id")
     lead = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     copies = rows.groupBy("h").agg(F.count("*").alias("copies"))

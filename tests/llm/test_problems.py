@@ -58,6 +58,19 @@ def test_most_similar_shards_copies_and_ties(spark):
     assert similar_vectors.most_similar(df.limit(1), "row_ix", "embedding", 5, 16).count() == 0
 
 
+def test_most_similar_with_many_scaled_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 16))
+    x[60:160] = x[60] * rng.uniform(0.1, 9, 100)[:, None]  # more than a search returns
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_ix long, embedding array<float>")
+    found: dict = {}
+    for r in similar_vectors.most_similar(df, "row_ix", "embedding", 10, 16).orderBy("row_ix", "rank").collect():
+        found.setdefault(r.row_ix, []).append(r.neighbour)
+    want = brute_neighbours(x.astype(np.float64), list(range(200)), 10)
+    assert all(found[i] == want[i] for i in range(60, 160))
+
+
 def test_usable_vectors(spark):
     inf, nan = float("inf"), float("nan")
     m = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0]), (6, None), (7, [1.0, None]), (8, [1.0, 1.0])], "row_ix long, embedding array<float>")
