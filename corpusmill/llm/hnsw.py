@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE = 16
-BEAM_BUILD = 48
-BEAM_SEARCH = 64
+DEGREE = 12
+BEAM_BUILD = 24
+BEAM_SEARCH = 24
 TOP_LAYER = 256
 STEP = 4
 BATCH = 512
@@ -50,6 +50,7 @@ class FlatHnsw:
         n = len(x)
         level = np.floor(-np.log(np.random.default_rng(seed).random(n) + 1e-12) / np.log(degree)).astype(int)
         self.order = np.argsort(-level, kind="stable")
+        self.place = np.argsort(self.order)
         self.x = np.ascontiguousarray(x[self.order])
         self.degree, self.beam = degree, beam
         self.sizes = [n]
@@ -198,10 +199,24 @@ class FlatHnsw:
         by = np.argsort(-sims, axis=1)
         return np.take_along_axis(ids, by, 1), np.take_along_axis(sims, by, 1)
 
-    def search(self, q: np.ndarray, k: int, beam: int = BEAM_SEARCH) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of x and similarities of the k best found for each query, -1 and -inf padded."""
+    def search(self, q: np.ndarray, k: int, beam: int = BEAM_SEARCH, nodes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of x and similarities of the k best found for each query, -1 and -inf padded.
+
+        nodes: where each query is itself a row of x, its number; the walk then starts at its own neighbours and needs no upper layer.
+        """
         if not len(self.x):
             return np.full((len(q), k), -1), np.full((len(q), k), -np.inf, np.float32)
-        ids, sims = self._walk(q, 0, max(beam, k))
+        wide = max(beam, k)
+        ids, sims = self._walk(q, 0, wide) if nodes is None else self._from_nodes(q, self.place[nodes], wide)
         ids, sims = ids[:, :k], sims[:, :k]
         return np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1), sims
+
+    def _from_nodes(self, q: np.ndarray, at: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for lo in range(0, len(q), BATCH):
+            part, own = q[lo : lo + BATCH], at[lo : lo + BATCH]
+            ids = np.hstack([own[:, None].astype(np.int32), self.layers[0][own]])
+            sims = np.einsum("nkd,nd->nk", self.x[np.maximum(ids, 0)], part)
+            sims[ids < 0] = -np.inf
+            found.append(self._beam(part, 0, ids, sims, beam))
+        return np.vstack([f[0] for f in found]), np.vstack([f[1] for f in found])

@@ -47,13 +47,15 @@ def test_most_similar_shards_copies_and_ties(spark):
     x[140:145] = 3 * x[7]  # the same direction
     x = x.astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), "z") for i, v in enumerate(x)], "row_ix long, embedding array<float>, h string")
-    got = similar_vectors.most_similar(df, "row_ix", "embedding", 5, 16, shard_rows=100, probes=4, query_block=90)
-    found: dict = {}
-    for r in got.orderBy("row_ix", "rank").collect():
-        found.setdefault(r.row_ix, []).append(r.neighbour)
     want = brute_neighbours(x.astype(np.float64), list(range(600)), 5)
-    assert found[120] == want[120] and found[7] == want[7]
-    assert np.mean([len(set(found[i]) & set(want[i])) / 5 for i in range(600)]) >= 0.9
+    ways = [{"probes": 4, "margin": 0.3}, {"probes": 4, "margin": 0.3, "part_rows": 30}, {"probes": 6, "margin": 0.4, "level_cells": 3, "shard_rows": 70}]
+    for way in ways:  # one level of cells, cells cut into parts, two levels
+        got = similar_vectors.most_similar(df, "row_ix", "embedding", 5, 16, **({"shard_rows": 100} | way))
+        found: dict = {}
+        for r in got.orderBy("row_ix", "rank").collect():
+            found.setdefault(r.row_ix, []).append(r.neighbour)
+        assert found[120] == want[120] and found[7] == want[7]
+        assert np.mean([len(set(found[i]) & set(want[i])) / 5 for i in range(600)]) >= 0.9
     assert similar_vectors.most_similar(df.where("false"), "row_ix", "embedding", 5, 16).count() == 0
     assert similar_vectors.most_similar(df.limit(1), "row_ix", "embedding", 5, 16).count() == 0
 
@@ -73,9 +75,11 @@ def test_most_similar_with_many_scaled_copies(spark):
 
 def test_usable_vectors(spark):
     inf, nan = float("inf"), float("nan")
-    m = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0]), (6, None), (7, [1.0, None]), (8, [1.0, 1.0])], "row_ix long, embedding array<float>")
-    ids = spark.createDataFrame([(i, "extra") for i in (1, 1, 2, 3, 4, 5, 6, 7)], "row_ix long, embedding string")
-    assert [r.row_ix for r in similar_vectors.usable_vectors(m, ids, 2).collect()] == [1]
+    m = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0]), (6, None), (7, [1.0, None]), (8, [1.0, 1.0]), (None, [1.0, 1.0]), (9, [-0.0, 1.0]), (10, [0.0, 1.0])], "row_ix long, embedding array<float>")
+    got = similar_vectors.usable_vectors(m, "row_ix", "embedding", 2).collect()
+    assert sorted(r.id for r in got) == [1, 1, 8, 9, 10] and len({r.h for r in got}) == 3
+    ids = spark.createDataFrame([(i, "extra") for i in (1, 1, 2, 3, 4, 5, 6, 7, 9)], "row_ix long, embedding string")
+    assert sorted((r.row_ix, r.neighbour) for r in similar_vectors.most_similar(m, "row_ix", "embedding", 3, 2, among=ids).collect()) == [(1, 9), (9, 1)]
 
 
 # 2
