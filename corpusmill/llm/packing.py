@@ -91,25 +91,25 @@ def pack_documents(sizes: DataFrame, key: str, size: str, capacity: int = CAPACI
     size; each shard is packed on its own, which leaves at most a few loose containers per shard, so no
     task sees more than its shard at any data size. An empty table gives no rows.
     """
-    items = sizes.where(F.col(size) > 0).select(F.col(key), F.col(size).cast("bigint").alias("size"))
-    full = F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(0).cast("bigint")
-    full = F.when((F.col("size") > 0) & (F.col("size") % capacity == 0), F.floor(F.col("size") / capacity)).otherwise(full)
-    wholes = items.withColumn("full", full).where("full > 0").select(key, F.posexplode(F.array_repeat(F.lit(capacity), F.col("full").cast("int"))).alias("piece", "length"))
-    wholes = wholes.select(
-        F.concat_ws("-", F.lit("w"), F.col(key).cast("string"), F.col("piece").cast("string")).alias("container"), key, "piece", (F.col("piece") * F.lit(capacity)).cast("bigint").alias("start"), F.col("length").cast("int").alias("length")
-    )
+    items = sizes.where(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"))
+    full = F.floor(F.col("size") / capacity).cast("bigint")
+    big = items.where(F.col("size") >= capacity).groupBy("key", "size").agg(F.count("*").alias("copies"))  # equal rows get containers of their own
+    seq = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    wholes = big.select("key", "size", seq(F.col("copies")).alias("copy")).select("key", "size", "copy", seq(full).alias("piece"))
+    name = F.concat_ws("-", F.lit("w"), F.coalesce(F.col("key").cast("string"), F.lit("null")), "size", "copy", "piece")
+    wholes = wholes.select(name.alias("container"), "key", F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.lit(capacity)).alias("start"), F.lit(capacity).alias("length"))
     shards = max(1, -(-sizes.count() // shard_items))
-    rests = items.withColumn("full", full).select(key, F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("start"), (F.col("size") - F.col("full") * capacity).cast("int").alias("length")).where("length > 0")
-    rests = rests.withColumn("shard", F.pmod(F.xxhash64(key, "start", "length"), F.lit(shards)).cast("int"))
+    rests = items.withColumn("full", full).select("key", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("start"), (F.col("size") - F.col("full") * capacity).cast("int").alias("length")).where("length > 0")
+    rests = rests.withColumn("shard", F.pmod(F.xxhash64("key", "start", "length"), F.lit(shards)).cast("int"))
 
     def place(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values([key, "length"], kind="stable")
+        shard = shard.sort_values(["key", "length"], kind="stable")
         shard["container"] = [f"s{s}-{c}" for s, c in zip(shard["shard"], pack(shard["length"].tolist(), capacity))]
-        return shard[["container", key, "piece", "start", "length"]]
+        return shard[["container", "key", "piece", "start", "length"]]
 
     kind = dict(sizes.dtypes)[key]
-    packed = rests.groupBy("shard").applyInPandas(place, f"container string, `{key}` {kind}, piece int, start bigint, length int")
-    return packed.unionByName(wholes)
+    packed = rests.groupBy("shard").applyInPandas(place, f"container string, key {kind}, piece int, start bigint, length int")
+    return packed.unionByName(wholes).withColumnRenamed("key", key)
 
 
 def document_sizes(spark, sf_dir) -> DataFrame:

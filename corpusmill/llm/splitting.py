@@ -92,13 +92,13 @@ def pieces(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS
             heapq.heappush(heap, (strong[k], size[i] + size[k], k))
         if i > 0:
             heapq.heappush(heap, (strong[i], size[before[i]] + size[i], i))
-    out, i, previous = [], 0, 0
+    out, i = [], 0
     while i >= 0:
         lo, hi = starts[i], starts[i] + size[i]
-        carried = min(overlap, previous)
+        carried = min(overlap, lo)  # what the piece before ends with, its own overlap included
         end = words[hi][0] if hi < len(words) else len(text)
         out.append((words[lo - carried][0] if lo else 0, end, hi - lo, carried))
-        previous, i = hi - lo, after[i]
+        i = after[i]
     return out
 
 
@@ -119,8 +119,8 @@ def current_oversized(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFr
 def split_oversized(oversized: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS) -> DataFrame:
     """The ordered pieces of each text: file_id, chunk_id, piece, heading_path, start, n_tokens, overlap_words, text.
 
-    A piece has at most max_tokens tokens with its overlap, which is the last `overlap` words of the piece
-    before it (all of them, if it has fewer). heading_path is the chunk's own, followed by the last heading
+    A piece has at most max_tokens tokens with its overlap, which is the last `overlap` words before it in the
+    text (all of them, if there are fewer); the piece before it ends with these, though they may be its own overlap. heading_path is the chunk's own, followed by the last heading
     in the text before the piece's own words. Null and blank texts have no pieces.
     """
 
