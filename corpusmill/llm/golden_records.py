@@ -1,8 +1,9 @@
 """Problem 4: the best representative of each duplicate group, field by field.
 
-Method: fields are unpivoted to long rows, every row gets a usability test and a rank, winners are chosen by
-max_by and pivoted back. The method's votes (source trust times recency decay, summed per normalised value)
-are consensus_values; where the wanted order is lexicographic, as in p4_found, survivors ranks by it instead.
+Method: fields are unpivoted to long rows, and every usable value's row votes with the trust of its origin and its
+recency. Votes are summed per value key, winners are chosen by max_by and pivoted back (elect). What a value key
+is, is a parameter: consensus_values takes the normalised value and weighs trust by a half-life; survivors, whose wanted order is
+lexicographic, lets every member stand for itself, with a vote in which any gain in trust outweighs any gain in recency.
 """
 
 from __future__ import annotations
@@ -21,17 +22,16 @@ TRUST = {"curated": 3, "classified": 2, "fetched": 1}
 HALF_LIFE_DAYS = 365.0
 LAST_DAY = "2025-12-31"
 FIRST_DAY = "2010-01-01"
+#: A sentence is page furniture if it stands under so many different titles, and under this share of all titles.
+FURNITURE_TITLES, FURNITURE_SHARE = 8, 0.001
+#: A description of which this share of words is furniture doesn't speak about its source.
+FURNITURE_WORDS = 0.5
 _MONTHS = "january february march april may june july august september october november december".split()
 _DAY_MICROS = 86_400_000_000
-#: Words of accounts, roles and page furniture that a person's name doesn't have.
-_NOT_NAMES = "admin administrator webmaster editor editors staff author authors name team user guest anonymous posted by share print comments comment read min minutes page site blog news press desk office unknown none null nan tbd available not redaktion contributor contributors the".split()
-#: Phrases of navigation, consent, login, error and loading pages.
-_FURNITURE = [
-    "newsletter", r"subscribe (to|now|today|for)", r"never miss an", r"skip to (main )?content", "(we|i) value your privacy", r"remember (your )?choices", r"accept (all )?(cookies|to go on)", "uses? (cookies|small files)",
-    r"(sign|log) ?in or (create|register|sign)", r"create a (free )?account", "already a member", "library card number", "to unlock this", "forgot (your )?password", r"(switch|turn) on (java)?scripts?", r"enable (javascript|scripts|cookies)",
-    "reload this page", r"in your browser", r"error [345]\d\d", r"page (you were looking for|not found|cannot be found|could not be found)", "back to the (start|home) ?page", "try the search box", r"checking that the connection", "connection is safe",
-    "before proceeding", "this takes a few seconds", "share this (on|page|article)", "favourite network", "all rights reserved", "terms (of service|and conditions|of use)", r"click here", "please wait", "verify (that )?you are (a )?human",
-]
+#: Votes are whole numbers: microseconds of updated_at, and for trust more than any timestamp has; null is older than all.
+_TRUST_VOTE, _NULL_VOTE = 10**18, -(10**17)
+#: Words for roles instead of persons.
+_ROLES = "admin administrator anonymous author authors contributor contributors editor editors editorial guest redaktion staff team user webmaster".split()
 
 
 def trust_of(origin: Column) -> Column:
@@ -65,32 +65,53 @@ def whole_day(c: Column) -> Column:
 
 
 def names_people(c: Column) -> Column:
-    """True if the text is one or more persons' names: each of two words or more, capitalised or initials, without digits, addresses or words of roles."""
+    """True if the text is one or more persons' names: each of two words or more, capitalised or initials, without digits, addresses or words for roles."""
     t = strip(F.regexp_replace(c, r"(?U)\s+", " "))
     people = F.filter(F.split(F.regexp_replace(t, r"(?i),? (?:and|und|et|y|with) | & ", ";"), ";|/|,"), lambda x: F.trim(x) != "")
     word = r"(?:\p{Lu}[\p{L}\p{M}'’]*(?:-\p{Lu}[\p{L}\p{M}'’]*)*\.?)"
     particle = r"(?:van|von|de|der|den|del|della|di|da|dos|du|la|le|bin|ibn|al|el|ter|ten|zu|y|e)"
     pattern = rf"^(?:(?:dr|prof|mr|mrs|ms)\.? )?{word}(?: {particle})*(?: {word}(?: {particle})*)*[ ]{word}(?:,? (?:jr|sr|ii|iii|phd)\.?)?$"
-    roles = F.arrays_overlap(F.split(F.lower(t), r"(?U)[^\p{L}]+"), F.array(*[F.lit(w) for w in _NOT_NAMES]))
+    roles = F.arrays_overlap(F.split(F.lower(t), r"(?U)[^\p{L}]+"), F.array(*[F.lit(w) for w in _ROLES]))
     ok = F.forall(people, lambda x: F.regexp_like(F.trim(x), F.lit(pattern)))
     return ~is_placeholder(c) & ~F.regexp_like(t, F.lit(r"\d|://|@|\w\.\w{3,}")) & ~roles & (F.size(people) > 0) & ok
 
 
-def about_source(c: Column) -> Column:
-    """True unless the text is missing or most of it is page furniture: sentences of menus, consent, login, error and loading pages."""
-    t = F.lower(F.regexp_replace(c, r"(?U)\s+", " "))
-    hits = F.regexp_count(t, F.lit("|".join(_FURNITURE)))
-    sentences = F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"[^.!?]*\p{L}{2}[^.!?]*\p{L}[^.!?]*[ ][^.!?]+[.!?]?")))
-    return ~is_placeholder(c) & (hits * 3 < sentences)
+def sentences_of(c: Column) -> Column:
+    """Array of (s, words): a digest of each sentence's letters and digits in lower case, and its number of words."""
+    plain = F.transform(F.split(F.lower(c), r"(?U)[.!?\n\r]+(?:\s+|$)"), lambda x: F.trim(F.regexp_replace(x, r"(?U)[^\p{L}\p{M}\p{N}]+", " ")))
+    return F.transform(F.filter(plain, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("s"), F.size(F.split(x, " ")).alias("words")))
+
+
+def furniture(sources: DataFrame) -> DataFrame:
+    """s: digests of the sentences that stand under many different titles: menus, consent, login, error and loading pages.
+
+    A sentence about one source is repeated by that source's copies, whose titles differ in form only, so
+    titles are compared by their letters and digits. A sentence needs FURNITURE_TITLES titles and FURNITURE_SHARE of
+    all; so there are at most as many as a source has sentences on average, divided by FURNITURE_SHARE.
+    """
+    title = F.xxhash64(F.regexp_replace(F.lower("title"), r"(?U)[^\p{L}\p{M}\p{N}]+", " "))
+    rows = sources.where("description IS NOT NULL").select(title.alias("t"), "description")
+    least = F.greatest(F.lit(FURNITURE_TITLES), F.lit(FURNITURE_SHARE) * F.col("n"))
+    all_titles = rows.agg(F.approx_count_distinct("t").alias("n"))
+    spread = rows.select("t", F.explode(sentences_of(F.col("description"))).alias("x")).groupBy("x.s").agg(F.count_distinct("t").alias("titles"))
+    return spread.crossJoin(F.broadcast(all_titles)).where(F.col("titles") >= least).select("s")  # one row
+
+
+def furnished(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """row_id and furnished, the share of its description's words that stand in known furniture; rows with a description only."""
+    split = rows.select("row_id", F.explode(sentences_of(F.col("description"))).alias("x")).select("row_id", "x.s", "x.words")
+    marked = split.join(F.broadcast(known.withColumn("known", F.lit(True))), "s", "left")  # bounded, see furniture
+    return marked.groupBy("row_id").agg((F.sum(F.when(F.col("known"), F.col("words")).otherwise(0)) / F.sum("words")).alias("furnished"))
 
 
 def candidates(report: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per group, member and field: group_id, row_id, field, value, usable, score, trust, seen (microseconds of updated_at or null).
 
     report rows may repeat; members without a row in sources have no candidates. Extra columns are ignored.
+    What furniture is, is learned from all sources' descriptions.
     """
     members = report.select("group_id", "row_id").where("group_id IS NOT NULL AND row_id IS NOT NULL").distinct()
-    rows = members.join(sources.select("row_id", *FIELDS, "origin", "updated_at"), "row_id")
+    rows = members.join(sources.select("row_id", *FIELDS, "origin", "updated_at"), "row_id").join(furnished(sources, furniture(sources)), "row_id", "left")
     seen = F.unix_micros("updated_at")
     day = whole_day(F.col("published"))
     limit = F.coalesce(F.floor(seen / _DAY_MICROS), F.unix_date(F.lit(LAST_DAY).cast("date")).cast("bigint"))
@@ -104,35 +125,51 @@ def candidates(report: DataFrame, sources: DataFrame) -> DataFrame:
         F.array(
             option("author", strip(F.col("author")), names_people(F.col("author")), F.lit(0)),
             option("published", day.cast("string"), dated, F.lit(0)),
-            option("description", text, about_source(F.col("description")), F.length(text)),
+            option("description", text, ~is_placeholder(F.col("description")) & (F.coalesce("furnished", F.lit(1.0)) < FURNITURE_WORDS), F.length(text)),
             option("tags", F.array_join(tags, ", "), real_tags, n_tags),
         )
     )
     return rows.select("group_id", "row_id", trust_of(F.col("origin")).alias("trust"), seen.alias("seen"), long.alias("o")).select("group_id", "row_id", "o.*", "trust", "seen")
 
 
+def elect(long: DataFrame, key: Column, vote: Column) -> DataFrame:
+    """group_id, field, row_id, value, votes: per group and field the value key with the highest score, then the largest sum of votes, then the smallest row_id.
+
+    Only usable rows vote. value and row_id are those of the key's smallest row_id. No row where nothing is
+    usable. Sums and maxima are combined map-side, so a group of any size costs one row per task and key.
+    """
+    first = F.struct("row_id", "value")
+    tally = long.where("usable").groupBy("group_id", "field", key.alias("key")).agg(F.max("score").alias("score"), F.sum(vote).alias("votes"), F.min_by(first, "row_id").alias("w"))
+    rank = F.struct("score", "votes", (-F.col("w.row_id")).alias("least"))
+    return tally.groupBy("group_id", "field").agg(F.max_by(F.struct("w", "votes"), rank).alias("e")).select("group_id", "field", "e.w.row_id", "e.w.value", "e.votes")
+
+
 def survivors(long: DataFrame) -> DataFrame:
     """group_id, field, row_id, value: the winner of each field; no row where no member is usable.
 
-    Higher score first, then trust, then the latest seen (null is oldest), then the smallest row_id.
+    Higher score first, then trust, then the latest seen (null is oldest), then the smallest row_id: every
+    member is a key of its own, and its vote is trust times more than any timestamp, plus its microseconds.
     """
-    rank = F.struct("score", "trust", F.coalesce("seen", F.lit(-(2**63))).alias("seen"), (-F.col("row_id")).alias("least"))
-    best = F.max_by(F.struct("row_id", "value"), rank)
-    return long.where("usable").groupBy("group_id", "field").agg(best.alias("w")).select("group_id", "field", "w.row_id", "w.value")
+    vote = (F.col("trust") * _TRUST_VOTE + F.coalesce("seen", F.lit(_NULL_VOTE))).cast("decimal(20,0)")
+    return elect(long, F.col("row_id"), vote).drop("votes")
+
+
+def normal_value(c: Column) -> Column:
+    """Letters and digits in lower case: the key under which values count as the same."""
+    return F.lower(F.regexp_replace(c, r"(?U)[^\p{L}\p{N}]+", " "))
 
 
 def consensus_values(long: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
     """group_id, field, value, votes: per field the normalised value with the largest sum of trust times recency decay.
 
     A vote is (trust + 1) * 0.5 ** (age / half_life), age in days before the group's latest update; a null
-    update counts as ten half-lives. Ties go to the smaller value.
+    update counts as ten half-lives. Ties go to the value of the smaller row_id.
     """
     newest = long.groupBy("group_id").agg(F.max("seen").alias("newest"))
     age = F.coalesce((F.col("newest") - F.col("seen")) / F.lit(float(_DAY_MICROS)), F.lit(10.0 * half_life_days))
-    vote = (F.col("trust") + 1) * F.pow(F.lit(0.5), age / F.lit(half_life_days))
-    key = F.lower(F.regexp_replace("value", r"(?U)[^\p{L}\p{N}]+", " "))
-    votes = long.where("usable").join(newest, "group_id").groupBy("group_id", "field", key.alias("norm")).agg(F.round(F.sum(vote), 6).alias("votes"), F.min("value").alias("value"))
-    return votes.groupBy("group_id", "field").agg(F.min_by(F.struct("value", "votes"), F.struct((-F.col("votes")).alias("v"), "norm")).alias("w")).select("group_id", "field", "w.value", "w.votes")
+    vote = F.round((F.col("trust") + 1) * F.pow(F.lit(0.5), age / F.lit(half_life_days)), 9).cast("decimal(20,9)")  # exact sums, in any order
+    won = elect(long.withColumn("score", F.lit(0)).join(newest, "group_id"), normal_value(F.col("value")), vote)
+    return won.select("group_id", "field", "value", F.round("votes", 6).cast("double").alias("votes"))
 
 
 def _long(spark, sf_dir):
