@@ -25,7 +25,8 @@ from corpusmill.sources.tables import table
 FIELD_KIND = {"concepts": "concept", "tags": "tag", "risk_category": "risk_category"}
 SIMILAR = 0.78
 COVERED = 0.5
-TASKS = 64
+#: Distinct values that a task takes.
+TASK_VALUES = 500
 #: Cyrillic and Greek letters that look like Latin ones.
 _LOOKALIKE = str.maketrans("абвгеёіјкмнорсѕтухһԁԛԝАВЕЗІЈКМНОРСЅТУХԌαβεηικνορτυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aбbгeeijkmнopcstyxhdqwABE3IJKMHOPCSTYXGaβenikvoptuxwABEZHIKMNOPTYX")
 _JOINERS = {"of", "the", "and", "in", "for", "to", "a"}
@@ -96,7 +97,13 @@ class Matcher:
                     short["".join(x[0] for x in w)].add(name)
         self.short = {k: v.pop() for k, v in short.items() if len(v) == 1}
         self.names = [" ".join(words_of(name)) for name, _ in entries]
-        self.grams = {form: Counter(self._grams(form)) for form in self.forms}
+        self.listed = list(self.forms)
+        grams = [Counter(self._grams(form)) for form in self.listed]
+        self.n_grams = [sum(g.values()) for g in grams]
+        self.holders: dict[str, list[tuple[int, int]]] = defaultdict(list)  # pair of letters -> forms with it, and how often
+        for i, g in enumerate(grams):
+            for pair, times in g.items():
+                self.holders[pair].append((i, times))
 
     @staticmethod
     def _grams(text: str) -> list[str]:
@@ -128,11 +135,16 @@ class Matcher:
         """The name most similar as a whole or word by word in any order; none below SIMILAR or if two names tie."""
         text = " ".join(words)
         grams = Counter(self._grams(text))
+        n, shared = sum(grams.values()), defaultdict(int)
+        for pair, times in grams.items():
+            for i, other in self.holders.get(pair, ()):
+                shared[i] += min(times, other)
         best: dict[str, float] = {}
-        for form, name in self.forms.items():
-            shared = sum((grams & self.grams[form]).values())
-            if shared * 2 < 0.2 * (sum(grams.values()) + sum(self.grams[form].values())):
+        for i in sorted(shared):  # a form without a common pair of letters can't be similar
+            if shared[i] * 2 < 0.2 * (n + self.n_grams[i]):
                 continue
+            form = self.listed[i]
+            name = self.forms[form]
             score = max(likeness(text.replace(" ", ""), form.replace(" ", ""), SIMILAR), self._word_likeness(words, form.split()))
             if score >= SIMILAR and score > best.get(name, 0):
                 best[name] = score
@@ -163,24 +175,39 @@ class Matcher:
         return self.cut_off(value, words) or self.similar(words)
 
 
-def canonical_names(entered: DataFrame, vocabulary: DataFrame) -> DataFrame:
+_MATCHERS: dict[str, dict[str, Matcher]] = {}
+
+
+def _matchers(kinds: dict[str, list[tuple[str, list[str]]]]) -> dict[str, Matcher]:
+    """The matchers of a vocabulary, built once per worker process; the last vocabulary's are kept."""
+    key = repr(sorted(kinds.items()))
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = {k: Matcher(v) for k, v in kinds.items()}
+    return _MATCHERS[key]
+
+
+def canonical_names(entered: DataFrame, vocabulary: DataFrame, values: int | None = None) -> DataFrame:
     """kind, entered, n, name for each distinct value: name is the empty string if the value means no entry.
 
     entered: kind, entered and n (how many cells hold it). vocabulary: kind, name, triggers; it is a fixed
-    list and is carried to the tasks whole. Values of kinds without entries match nothing.
+    list and is carried to the tasks whole. Values of kinds without entries match nothing. values is the number
+    of rows of `entered`, if known: work per value is large beside its size, so tasks are cut by number.
     """
+    values = entered.count() if values is None else values
     kinds: dict[str, list[tuple[str, list[str]]]] = defaultdict(list)
     for r in vocabulary.where("kind IS NOT NULL AND name IS NOT NULL").select("kind", "name", "triggers").orderBy("kind", "name").collect():
         kinds[r.kind].append((r.name, [t for t in r.triggers or [] if t]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matchers = {k: Matcher(v) for k, v in kinds.items()}
-        none = Matcher([])
+        from corpusmill.llm.canonical_values import _matchers as built  # the worker's own module, so that tasks share it
+
+        matchers, none = built(kinds), Matcher([])
         for b in batches:
             b["name"] = [matchers.get(k, none).match(v) for k, v in zip(b["kind"], b["entered"])]
             yield b
 
-    spread = entered.select("kind", "entered", "n").repartition(TASKS, "kind", "entered")  # little data, but work per value
+    spread = entered.select("kind", "entered", "n").repartition(max(1, -(-values // TASK_VALUES)), "kind", "entered")
     return spread.mapInPandas(run, "kind string, entered string, n bigint, name string")
 
 
@@ -194,10 +221,10 @@ def mapped_values(sources: DataFrame, vocabulary: DataFrame) -> DataFrame:
     values = cells.select("row_id", "c.field", "c.kind", F.explode("c.v").alias("entered"))
     exact = vocabulary.select("kind", F.col("name").alias("entered")).distinct()
     cases = values.join(F.broadcast(exact), ["kind", "entered"], "left_anti")  # the fixed vocabulary
-    counted = cases.groupBy("kind", "entered").agg(F.count("*").alias("n"))
+    counted = cut_lineage(cases.groupBy("kind", "entered").agg(F.count("*").alias("n")))
     key = F.concat_ws("\x00", "kind", "entered").alias("k")
     names = cut_lineage(canonical_names(counted, vocabulary).select(key, "n", "name"))  # read twice below, matched once
-    found = salted_lookup(cases.select("row_id", "field", "entered", key), names, "k", "n", hot_rows=hot_threshold(3 * sources.count()))
+    found = salted_lookup(cases.select("row_id", "field", "entered", key), names, "k", "n", hot_rows=hot_threshold(sum(r.n for r in names.agg(F.sum("n").alias("n")).where("n > 0").collect())))
     return found.select("row_id", "field", "entered", "name")
 
 
