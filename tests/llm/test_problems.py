@@ -1,8 +1,10 @@
 import base64
 import math
 import random
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -310,9 +312,22 @@ def test_repeated_rows_over_the_capacity_share_no_container(spark):
 
 # 10
 def test_sentences():
-    text = "---\ntitle: X y z\n---\n# Head line here\n\nOne two three. Four five\nsix seven! No.\n- item with words\n- another item here"
-    assert [" ".join(s) for s in subjects.sentences(text)] == ["one two three", "four five six seven", "item with words", "another item here"]
-    assert subjects.sentences(None) == [] and subjects.sentences(" \n ") == []
+    text = "---\ntitle: X y z\n---\n# Head line here\n\nOne two three. Four five\nsix don't! No.\n- item with words\n- another item here\r\nÉté à Zürich…"
+    got = subjects.sentences(pa.array([None, text, " \n ", "", "One two three."]), subjects.WordHashes())
+    said = ["one two three", "four five six dont", "item with words", "another item here été à zürich", "one two three"]
+    assert got.per_text.tolist() == [0, 4, 0, 0, 1] and got.sizes.tolist() == [len(x.split()) for x in said]
+    assert got.words.tolist() == [subjects._hash(unicodedata.normalize("NFD", w)) for x in said for w in x.split()]
+    features, place = got.features()
+    assert len(set(features[place == 0])) == 5 and features[place == 0].tolist() == features[place == 4].tolist()
+    empty = subjects.sentences(pa.array([], pa.string()), subjects.WordHashes())
+    assert not len(empty.words) and not len(empty.features()[0])
+
+
+def test_vocabulary_knows_its_own_only():
+    r = np.random.default_rng(4)
+    own = np.unique(np.concatenate([r.integers(-(2**62), 2**62, 3000), np.arange(20) << 40]))  # the last ones share their low bits
+    v = subjects.Vocabulary(own)
+    assert (v.rows(own) == np.arange(len(own))).all() and (v.rows(r.integers(-(2**62), 2**62, 5000) | 1) < 0).sum() >= 4990
 
 
 def test_held_out_accuracy(spark):
