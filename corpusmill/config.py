@@ -9,8 +9,8 @@ MIN_COSINE, MIN_EDGE, TOP_NEIGHBOURS = 0.88, 1.0, 10
 ISOLATED_BELOW, SPARSE_BELOW, SPARSE_SIZE, BRIDGE_COMMUNITIES, SURPRISING_TOP = 0.5, 0.15, 5, 3, 20
 #: Prefixes of tracking parameters.
 TRACKING = ["utm_", "ref", "fbclid", "gclid", "mc_cid", "mc_eid"]
-#: Names of documents about the collection itself, at its root.
-META_DOCUMENTS = ["PROCESS_NEW_FILE.md", "PROCESS_HEALTH_CHECK.md", "PROCESS_QUERY.md", "PROCESS_DIRECTORY.md", "README.md", "log.md", "llm-wiki.md", "open_questions.md", "SYNTHESIS.md"]
+#: Names of documents about the collection itself, at its root: a parameter of the collection. Most collections have these two.
+META_DOCUMENTS = ["README.md", "log.md"]
 RECALL_AT, NDCG_AT, MRR_AT = 20, 10, 10
 #: Marks of page metadata in an author field, and titles that only name a site.
 SUSPECT_AUTHORS = ["Authority control databases", "CONTRIBUTORS ", "MusicBrainz"]

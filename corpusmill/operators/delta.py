@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What tells versions of a chunk apart besides their time and text.
+DESCRIBED = ["heading_path", "title", "tokens", "tags", "concepts", "relpath", "category", "subcategory"]
+KEYS = ["file_id", "chunk_id"]
+
 
 def last_version(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the one with the largest `order` (null is smallest). Aggregated map-side, so a key with many versions costs one row per task."""
@@ -12,9 +16,34 @@ def last_version(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(best.alias("_w")).select("_w.*")
 
 
-def current_chunks(chunks: DataFrame) -> DataFrame:
-    """The latest row of each (file_id, chunk_id); equal times go to the larger text, tags and concepts."""
-    return last_version(chunks, ["file_id", "chunk_id"], ["indexed_at", "text", "tags", "concepts"])
+def version(text: bool = True) -> list[Column]:
+    """Columns _at, _form and, with text, _text: what orders the versions of a chunk. Equal times go to the larger digest."""
+    own = [F.col("indexed_at").alias("_at"), F.xxhash64(*DESCRIBED).alias("_form")]
+    return own + ([F.xxhash64("text").alias("_text")] if text else [])
+
+
+def current_chunks(chunks: DataFrame, *columns: str | Column, text: bool = True) -> DataFrame:
+    """file_id, chunk_id and the columns asked for, of the latest row of each chunk. One row per chunk; a null time is oldest.
+
+    Columns are computed where rows are scanned and only their values are shuffled, so ask for what a plan needs
+    of a text (a digest, a count) rather than for the text. Versions of equal time go to the larger digest of
+    their attributes, then of their text; text=False leaves the text out of that, which is safe where no column
+    depends on it, and then it isn't read.
+    """
+    order = version(text)
+    asked = [F.col(c) if isinstance(c, str) else c for c in columns]
+    rows = chunks.select(*KEYS, *order, F.struct(*asked).alias("_c") if asked else F.lit(None).cast("struct<x:int>").alias("_c"))
+    names = ["_at", "_form"] + (["_text"] if text else [])
+    best = rows.groupBy(*KEYS).agg(F.max_by("_c", F.struct(*names)).alias("_c"))
+    return best.select(*KEYS, "_c.*") if asked else best.select(*KEYS)
+
+
+def current_versions(chunks: DataFrame, *columns: Column) -> DataFrame:
+    """file_id, chunk_id, _at, _form, _text, copies and the columns: which version of each chunk is current, and how many equal rows deliver it."""
+    rows = chunks.select(*KEYS, *version(), F.struct(F.lit(1).alias("_one"), *columns).alias("_c")).repartition(*KEYS)  # both groupings below need no further shuffle
+    each = rows.groupBy(*KEYS, "_at", "_form", "_text").agg(F.count("*").alias("copies"), F.first("_c").alias("_c"))
+    best = each.groupBy(*KEYS).agg(F.max_by(F.struct("_at", "_form", "_text", "copies", "_c"), F.struct("_at", "_form", "_text")).alias("_w"))
+    return best.select(*KEYS, "_w._at", "_w._form", "_w._text", "_w.copies", "_w._c.*").drop("_one")
 
 
 def hash_delta(current: DataFrame, previous: DataFrame, key: str, digest: str) -> DataFrame:
@@ -29,6 +58,23 @@ def hash_delta(current: DataFrame, previous: DataFrame, key: str, digest: str) -
     return state.unionByName(gone).groupBy("state").agg(F.count("*").alias("n"))
 
 
+def reusable(current: DataFrame, previous: DataFrame, digest: str, row: str) -> DataFrame:
+    """current with the smallest earlier row of the same digest, or null: rows to take over and rows to compute anew. Null digests match nothing."""
+    was = previous.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(row).alias(row))
+    return current.join(was, digest, "left").select(*current.columns, row)
+
+
+def run_validity(matrix: DataFrame, ids: DataFrame, row: str, vector: str) -> DataFrame:
+    """One row: n_ids, n_vectors, unmatched, lengths, state of an earlier run: valid, or what keeps it from being built upon."""
+    keyed = matrix.where(F.col(row).isNotNull()).select(row, F.size(vector).alias("l"), F.col(vector).isNotNull().alias("is"))
+    m = keyed.groupBy(row).agg(F.lit(1).alias("m"))
+    i = ids.where(F.col(row).isNotNull()).select(row).distinct().withColumn("i", F.lit(1))
+    sums = m.join(i, row, "full").agg(F.count("i").alias("n_ids"), F.count("m").alias("n_vectors"), F.count_if(F.col("i").isNull() | F.col("m").isNull()).alias("unmatched"))
+    lengths = keyed.agg(F.count_distinct(F.when(F.col("is"), F.col("l"))).alias("lengths"))
+    state = F.when(F.col("n_vectors") == 0, "no vectors").when(F.col("unmatched") > 0, "ids and vectors differ").when(F.col("lengths") > 1, "lengths differ").otherwise("valid")
+    return sums.crossJoin(lengths).withColumn("state", state)  # two single rows
+
+
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: a digest of all rows that doesn't depend on their order, and their number.
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from corpusmill.operators.ranking import within_pairs
+from corpusmill.operators.skew import hot_threshold, salted_lookup
+from corpusmill.session import cut_lineage
+
+TILE = 8192
+LEAST_BITS, MISS = 12, 2e-4
 
 
 def usable(embedding: str, dimension: int) -> Column:
@@ -33,79 +41,106 @@ def mean_vectors(rows: DataFrame, group: str, embedding: str) -> DataFrame:
     return rows.where(F.col(group).isNotNull()).groupBy(group).agg(vector_to_array(mean).alias("m")).select(group, unit(F.col("m")).alias("vector"))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, tile: int = TILE) -> DataFrame:
     """qid, key, rank, score (cosine, 4 decimals): exact, for every query against every row.
 
-    queries (qid, vector) is a stated set and is taken in blocks of BLOCK rows, each broadcast on its own, so
-    that what is broadcast is bounded; each task keeps only its k best rows per query. Ties go to the
-    smaller key. Vectors are unit vectors of one length.
+    queries (qid, vector) is a stated set. Rows and queries are spread by hash over tiles of about `tile` each, and
+    every tile of rows meets every tile of queries in a group of its own: nothing goes through the driver, and a
+    task holds two tiles. Ties go to the smaller key. Vectors are unit vectors of one length.
     """
-    spark, kind = corpus.sparkSession, dict(corpus.dtypes)[key]
-    asked = [(r.qid, r.vector) for r in queries.select("qid", F.col(vector).alias("vector")).orderBy("qid").toLocalIterator()]
-    qkind = dict(queries.dtypes)["qid"]
-    schema = f"qid {qkind}, `{key}` {kind}, s double"
-    parts = spark.createDataFrame([], schema)
-    for lo in range(0, len(asked), BLOCK):
-        block = asked[lo : lo + BLOCK]
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.array([v for _, v in block], np.float64)))
-
-        def best(batches, shared=shared):
-            ids, q = shared.value
-            top_s, top_k = np.full((len(ids), 0), 0.0), np.empty((len(ids), 0), object)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                keys = np.array(b.column(0).to_pylist(), object)
-                s = np.hstack([top_s, np.round(q @ v.T, 9)])
-                names = np.hstack([top_k, np.broadcast_to(keys, (len(ids), len(keys)))])
+    kind, qkind = corpus.schema[key].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    rows, asked = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v")), queries.select(F.col("qid").alias("id"), F.col(vector).alias("v"))
+    across, down = (max(1, -(-x.count() // tile)) for x in (rows, asked))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    right = rows.select(place(across).alias("x"), each(down).alias("y"), "id", "v")
+    left = asked.select(each(across).alias("x"), place(down).alias("y"), F.col("id").alias("qid"), "v")
+
+    def best(here: pa.Table, there: pa.Table) -> pa.Table:
+        ids, names = there.column("id"), here.column("qid")
+        found = {"qid": names.slice(0, 0), key: ids.slice(0, 0), "s": pa.array([], pa.float64())}
+        if here.num_rows and there.num_rows:
+            by = _sorted(ids)  # so that the place in the tile breaks ties
+            ids, v = ids.take(by), _matrix(there.column("v"))[by.to_numpy()]
+            parts = []
+            for lo in range(0, here.num_rows, 512):
+                s = np.round(_matrix(here.column("v").slice(lo, 512)) @ v.T, 9)
                 if s.shape[1] > k:
-                    cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    rows = [sorted(zip(-s[i][m], names[i][m]))[:k] for i, m in enumerate(s >= cut)]
-                    s = np.array([[-a for a, _ in r] for r in rows])
-                    names = np.array([[n for _, n in r] for r in rows], object)
-                top_s, top_k = s, names
-            if top_s.shape[1]:
-                yield pa.RecordBatch.from_pydict({"qid": list(np.repeat(np.array(ids, object), top_s.shape[1])), key: list(top_k.ravel()), "s": top_s.ravel()})
-
-        parts = parts.unionByName(corpus.select(key, vector).mapInArrow(best, schema))
+                    row, col = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
+                else:
+                    row, col = np.divmod(np.arange(s.size), s.shape[1])
+                order = np.lexsort((col, -s[row, col], row))
+                row, col = row[order], col[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                parts.append((row[top] + lo, col[top], s[row[top], col[top]]))
+            row, col, sim = (np.concatenate(x) for x in zip(*parts))
+            found = {"qid": names.take(pa.array(row)), key: ids.take(pa.array(col)), "s": pa.array(sim)}
+        return pa.table(found)
+
+    parts = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(best, f"qid {qkind}, `{key}` {kind}, s double")
     order = Window.partitionBy("qid").orderBy(F.desc("s"), key)
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", key, "rank", F.round("s", 4).alias("score"))
 
 
-def cosine_pairs(vectors: DataFrame, key: str, vector: str, floor: float, bands: int = 64, bits: int = 12, seed: int = 17) -> DataFrame:
-    """a < b and cosine of pairs of unit vectors with cosine >= floor.
+def _sorted(keys: pa.ChunkedArray) -> pa.Array:
+    """Places of the keys in ascending order; of structs field by field."""
+    keys = keys.combine_chunks()
+    if not pa.types.is_struct(keys.type):
+        return pc.sort_indices(keys)
+    fields = pa.table(keys.flatten(), names=[f.name for f in keys.type])
+    return pc.sort_indices(fields, sort_keys=[(c, "ascending") for c in fields.column_names])
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def vector_classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """id, rep, copies: for each row the smallest key among the rows whose vectors agree to 6 decimals, and their number."""
+    rows = vectors.select(F.col(key).alias("id"), F.xxhash64(F.transform(vector, lambda x: F.round(x, 6) + F.lit(0.0))).alias("h"))
+    rows = cut_lineage(rows)
+    reps = rows.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    return salted_lookup(rows, reps, "h", "copies", hot_rows=hot_threshold(rows.count())).select("id", "rep", "copies")
+
+
+def sign_bands(n: int, floor: float, miss: float = MISS) -> tuple[int, int]:
+    """Bits per band and number of bands for n vectors, so that a band's buckets hold some ten vectors at any n and a pair at the floor shares no band with probability `miss`."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, n))) - 3)
+    together = (1 - math.acos(floor) / math.pi) ** bits
+    return bits, math.ceil(math.log(miss) / math.log1p(-together))
+
+
+def cosine_pairs(vectors: DataFrame, key: str, vector: str, floor: float, classes: DataFrame | None = None, miss: float = MISS, seed: int = 17) -> DataFrame:
+    """a < b and cosine of pairs of class representatives with cosine >= floor; classes (vector_classes) gives the members of each.
+
+    Vectors that agree to 6 decimals form a class and are compared once, through the one with the smallest key: its pairs
+    stand for those of its members, and members of one class have cosine 1. So no class is multiplied out.
 
-    Candidates share a band of random-hyperplane signs; each is then checked exactly. A pair at cosine 0.88
-    is missed with probability below 2e-4 at 64 bands of 12 bits, nearer pairs with less. Equal vectors are
-    compared once and come back to their pairs by the class of equal vectors, so copies don't swell a band.
-    All pairs are returned, those within a class at cosine 1 included: a class of n copies gives n (n - 1) / 2.
+    Candidates share a band of random-hyperplane signs; each is then checked exactly. Bands get longer and more
+    as the table grows (sign_bands), so candidates grow with n ** 1.3 or less where vectors are spread, and a
+    pair at the floor is missed with probability `miss`, nearer pairs with less. Buckets are split into blocks (within_pairs).
     """
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("h", F.xxhash64("v"))
-    reps = rows.groupBy("h").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
+    classes = vector_classes(vectors, key, vector) if classes is None else classes
+    reps = cut_lineage(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).join(classes.where("id = rep").select("id"), "id"))
     kind = dict(reps.dtypes)["id"]
+    bits, bands = sign_bands(reps.count(), floor, miss)
 
     def sign(batches):
         planes = None
         for b in batches:
             if not b.num_rows:
                 continue
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            v = _matrix(b.column(1))
             if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits))
-            on = (v @ planes > 0).reshape(b.num_rows, bands, bits)
-            code = (on * (1 << np.arange(bits))).sum(2) + np.arange(bands) * (1 << bits)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, bands, dtype=np.int32)), pa.array(code.ravel().astype(np.int64)))], names=["id", "v", "codes"]
-            )
-
-    signed = reps.select("id", "v").mapInArrow(sign, f"id {kind}, v array<double>, codes array<bigint>")
-    codes = signed.select("id", F.explode("codes").alias("code"))
-    near = codes.alias("x").join(codes.alias("y"), "code").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+                planes = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits)).astype(np.float32)
+            for lo in range(0, len(v), 4096):
+                on = (v[lo : lo + 4096].astype(np.float32) @ planes > 0).reshape(-1, bands, bits)
+                code = (on * (1 << np.arange(bits, dtype=np.int64))).sum(2) * bands + np.arange(bands)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(code)), pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, bands, dtype=np.int32)), pa.array(code.ravel()))], names=["id", "codes"])
+
+    codes = reps.select("id", "v").mapInArrow(sign, f"id {kind}, codes array<bigint>").select("id", F.explode("codes").alias("code"))
+    near = within_pairs(codes, "code", "id").select("a", "b").distinct()
     side = lambda s: reps.select(F.col("id").alias(s), F.col("v").alias(f"v{s}"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    kept = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= floor)
-    classes = reps.select("h", F.col("id").alias("rep")).join(rows.select("h", "id"), "h").select("rep", "id")
-    wide = kept.join(classes.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(classes.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
-    same = classes.alias("x").join(classes.alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("ia"), F.col("y.id").alias("ib"), F.lit(1.0).alias("cosine"))
-    return wide.select("ia", "ib", "cosine").unionByName(same).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "cosine")
+    return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= floor)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import normal_term
+from corpusmill.operators.ranking import within_pairs
+from corpusmill.session import cut_lineage
 
 
 def memberships(chunks: DataFrame, columns: dict[str, str], key: str = "file_id") -> DataFrame:
@@ -32,12 +34,13 @@ def categories(files: DataFrame) -> DataFrame:
 def related_terms(chunks: DataFrame, column: str, top_k: int = 5) -> DataFrame:
     """term, rank, other, shared, jaccard: for each term the top_k others by Jaccard of their file sets.
 
-    Pairs are counted per file from its distinct terms with map-side combine; only terms of two files or
-    more are paired with others of the same file.
+    Each pair of a file's distinct terms is counted once, map-side, and mirrored after counting; a file with any
+    number of terms is spread over blocks (within_pairs).
     """
-    m = memberships(chunks, {"k": column}).select("file_id", "item")
+    m = cut_lineage(memberships(chunks, {"k": column}).select("file_id", "item"))
     n = m.groupBy("item").agg(F.count("*").alias("n"))
-    pairs = m.alias("x").join(m.alias("y"), "file_id").where("x.item <> y.item").groupBy(F.col("x.item").alias("term"), F.col("y.item").alias("other")).agg(F.count("*").alias("shared"))
+    once = cut_lineage(within_pairs(m, "file_id", "item").groupBy("a", "b").agg(F.count("*").alias("shared")))
+    pairs = once.select(F.col("a").alias("term"), F.col("b").alias("other"), "shared").unionByName(once.select(F.col("b").alias("term"), F.col("a").alias("other"), "shared"))
     size = lambda c: n.select(F.col("item").alias(c), F.col("n").alias(f"n_{c}"))
     j = F.round(F.col("shared") / (F.col("n_term") + F.col("n_other") - F.col("shared")), 4)
     scored = pairs.join(size("term"), "term").join(size("other"), "other").withColumn("jaccard", j)

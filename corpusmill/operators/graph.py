@@ -43,24 +43,36 @@ def link_edges(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return real.select(F.least("file_id", "to").alias("a"), F.greatest("file_id", "to").alias("b")).distinct()
 
 
-def first_order(members: DataFrame, links: DataFrame, cosines: DataFrame, floor: float = C.MIN_EDGE) -> DataFrame:
+def first_order(members: DataFrame, links: DataFrame, cosines: DataFrame, classes: DataFrame, floor: float = C.MIN_EDGE) -> DataFrame:
     """a, b, weight, vocab, wikilink, embedding: the signals summed, from the floor up.
 
-    A pair below the floor on shared items alone can still be an edge by a link or by its cosine, so those
-    pairs are weighed on their items too.
+    cosines: a, b, cosine of pairs of class representatives; classes: id, rep of files with a vector (dense.vector_classes).
+    Returned are the pairs that reach the floor by shared items, are linked, are representatives with a cosine, or
+    are a member and its representative (cosine 1); each is weighed by all its signals, the cosine by the
+    classes of both files. Pairs that only their classes bring together, other than these, are left to the representatives,
+    so a class of n copies has n - 1 such edges, not n (n - 1) / 2.
     """
     files = weighed_items(members)
-    other = links.select("a", "b", F.lit(C.WEIGHT_LINK).alias("wikilink"), F.lit(0.0).alias("embedding")).unionByName(
-        cosines.select("a", "b", F.lit(0.0).alias("wikilink"), (C.WEIGHT_EMBEDDING * F.col("cosine")).alias("embedding"))
-    )
-    other = other.groupBy("a", "b").agg(F.sum("wikilink").alias("wikilink"), F.sum("embedding").alias("embedding"))
+    stars = classes.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # rep is the smallest
+    other = links.select("a", "b").unionByName(cosines.select("a", "b")).unionByName(stars).distinct()
     below = weigh_pairs(other, files).where(F.col("vocab") < floor - 1e-9)
-    vocab = vocabulary_edges(members, floor).unionByName(below)
-    total = F.col("vocab") + F.col("wikilink") + F.col("embedding")
-    joined = vocab.join(other, ["a", "b"], "left").fillna(0.0, ["wikilink", "embedding"]).withColumn("total", total)
+    pairs = vocabulary_edges(members, floor).unionByName(below)
+    rep = lambda s: classes.select(F.col("id").alias(s), F.col("rep").alias(f"r{s}"))
+    known = pairs.join(rep("a"), "a", "left").join(rep("b"), "b", "left").withColumn("lo", F.least("ra", "rb")).withColumn("hi", F.greatest("ra", "rb"))
+    near = known.join(cosines.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "cosine"), ["lo", "hi"], "left")
+    linked = near.join(links.select("a", "b", F.lit(C.WEIGHT_LINK).alias("wikilink")).distinct(), ["a", "b"], "left").fillna(0.0, ["wikilink"])
+    cosine = F.when(F.col("ra") == F.col("rb"), 1.0).otherwise(F.coalesce("cosine", F.lit(0.0)))
+    signed = linked.withColumn("embedding", C.WEIGHT_EMBEDDING * cosine)
+    joined = signed.withColumn("total", F.col("vocab") + F.col("wikilink") + F.col("embedding"))
     return joined.where(F.col("total") >= floor - 1e-9).select("a", "b", F.round("total", 4).alias("weight"), *[F.round(c, 4).alias(c) for c in ("vocab", "wikilink", "embedding")])
 
 
+def whole_graph(edges: DataFrame, inferred: DataFrame) -> DataFrame:
+    """First- and second-order edges with all signals; aa is the second-order one. Inferred edges never feed back into the degrees they came from."""
+    zero = [F.lit(0.0).alias(c) for c in ("vocab", "wikilink", "embedding")]
+    return edges.withColumn("aa", F.lit(0.0)).unionByName(inferred.select("a", "b", "weight", *zero, F.col("weight").alias("aa")))
+
+
 def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
     """node, nbr and columns, each edge from either end."""
     return edges.select(F.col("a").alias("node"), F.col("b").alias("nbr"), *columns).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("nbr"), *columns))
@@ -84,29 +96,47 @@ def second_order(edges: DataFrame, floor: float = C.MIN_EDGE, weight: float = C.
     return scored.withColumn("x", weight * F.col("shared") / F.sqrt(F.col("da") * F.col("db"))).where(F.col("x") >= floor - 1e-9).select("a", "b", F.round("x", 4).alias("weight"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """file_id, community: weighted label propagation, labels renumbered by (size descending, smallest member).
+def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
+    """file_id, community, settled: weighted label propagation, labels renumbered by (size descending, smallest member).
 
     Every node takes the label with the largest sum of edge weights around it (its own label counts as much
     as its strongest edge; ties to the smaller label), for `rounds` rounds at most or until no label
-    changes. Messages are summed map-side; lineage is cut each round in the shared folder.
+    changes; settled is false for nodes whose label still changed in the last round. Messages are summed map-side; lineage is cut each round in the shared folder.
     """
     out = cut_lineage(both_ways(edges, "weight"))
     own = out.groupBy("node").agg(F.max("weight").alias("weight"))
-    labels = cut_lineage(nodes.select(F.col("file_id").alias("node"), F.col("file_id").alias("label")).distinct())
+    step = cut_lineage(nodes.select(F.col("file_id").alias("node"), F.col("file_id").alias("label"), F.lit(False).alias("moved")).distinct())
     for _ in range(rounds):
+        labels = step.select("node", "label")
         heard = out.join(labels.select(F.col("node").alias("nbr"), "label"), "nbr").select("node", "label", "weight")
         heard = heard.unionByName(own.join(labels, "node").select("node", "label", "weight"))
         sums = heard.groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
         best = sums.groupBy("node").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"))
         step = cut_lineage(labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("moved")))
-        moved = step.where("moved").limit(1).count()
-        labels = step.select("node", "label")
-        if not moved:
+        if not step.where("moved").limit(1).count():
             break
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("least"))
+    sizes = step.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("least"))
     number = numbered(sizes, [F.desc("size"), "least"], "community").select("label", "community")
-    return labels.join(number, "label").select(F.col("node").alias("file_id"), "community")
+    return step.join(number, "label").select(F.col("node").alias("file_id"), "community", (~F.col("moved")).alias("settled"))
+
+
+def top_concepts(members: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
+    """community, concepts: the k concepts of most of its files, by number and then name, joined by |. members: file_id, kind, item."""
+    held = members.where("kind = 'concept'").join(labels.select("file_id", "community"), "file_id").groupBy("community", "item").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("community").orderBy(F.desc("n"), "item")
+    top = held.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    return top.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "item"))), lambda x: x["item"]), "|").alias("concepts"))
+
+
+def isolated(degree: DataFrame, below: float = C.ISOLATED_BELOW) -> DataFrame:
+    """file_id, degree of files whose edges weigh less than `below` together."""
+    return degree.where(F.col("degree") < below).select("file_id", "degree")
+
+
+def sparse_communities(stats: DataFrame, members: DataFrame, labels: DataFrame, size: int = C.SPARSE_SIZE, below: float = C.SPARSE_BELOW) -> DataFrame:
+    """community, size, density, concepts of communities of at least `size` files with a density under `below`."""
+    few = stats.where((F.col("size") >= size) & (F.col("density") < below))
+    return few.join(top_concepts(members, labels), "community", "left").select("community", "size", "density", F.coalesce("concepts", F.lit("")).alias("concepts"))
 
 
 def community_stats(edges: DataFrame, labels: DataFrame) -> DataFrame:

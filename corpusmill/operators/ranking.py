@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.skew import salted_lookup
 from corpusmill.session import cut_lineage
 
 
@@ -37,7 +38,24 @@ def overlapping_pairs(lists: DataFrame, node: str, items: str, least: Column) ->
     rests = F.transform("i", lambda x, k: F.struct(x.alias("x"), sums(F.slice("i", k + 1, F.size("i"))).alias("rest")))
     kept = cut_lineage(sorted_.withColumn("head", F.filter(rests, lambda z: z["rest"] >= F.col("t") - 1e-9)))
     heads = kept.select("n", F.explode(F.transform("head", lambda z: z["x"])).alias("x"))
-    near = heads.alias("l").join(heads.alias("r"), "x").where("l.n < r.n").select(F.col("l.n").alias("a"), F.col("r.n").alias("b")).distinct()
+    near = within_pairs(heads, "x", "n").select("a", "b").distinct()
     side = lambda s: kept.select(F.col("n").alias(s), F.col("i").alias(f"i{s}"), F.col("t").alias(f"t{s}"))
     weighed = near.join(side("a"), "a").join(side("b"), "b").withColumn("shared", sums(F.array_intersect("ia", "ib")))
     return weighed.where(F.col("shared") >= F.greatest("ta", "tb") - 1e-9).select("a", "b", "shared")
+
+
+def within_pairs(rows: DataFrame, group: str, item: str, block: int = 256) -> DataFrame:
+    """group, a < b: the pairs of distinct items of each group, once each. rows: distinct group and item.
+
+    The items of a large group are spread by hash over blocks of about `block`, and each pair of blocks is joined
+    apart, so a group of any size is spread over tasks and none is collected.
+    """
+    named = rows.select(F.col(group).alias("_g"), F.col(item).alias("i"))
+    n = named.groupBy("_g").agg(F.count("*").alias("_n")).where("_n > 1")
+    sized = salted_lookup(named, n, "_g", "_n").withColumn("blocks", F.ceil(F.col("_n") / block).cast("int"))
+    placed = sized.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = placed.select("_g", "i", "own", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"))
+    l, r = parts.alias("l"), parts.alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("_g", "lo", "hi")]
+    met = (F.col("l.i") < F.col("r.i")) & ((F.col("l.own") != F.col("r.own")) | (F.col("l.lo") == F.col("l.hi")))
+    return l.join(r, same).where(met).select(F.col("l._g").alias(group), F.col("l.i").alias("a"), F.col("r.i").alias("b"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut_lineage
+
+#: Rows up to which a side of a join is broadcast; a row of keys and a number is some 100 bytes.
+BROADCAST_ROWS = 200_000
 HOT_ROWS = 50_000
 HOT_KEYS = 10_000
 SALTS = 32
@@ -15,6 +19,12 @@ def hot_threshold(rows: int) -> int:
     return max(HOT_ROWS, -(-rows // HOT_KEYS))
 
 
+def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, computed once and counted: to be broadcast if there are at most `most` of them, else joined by a shuffle."""
+    kept = cut_lineage(rows)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Join rows to lookup on key, spreading hot keys over several tasks.
 

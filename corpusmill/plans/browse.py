@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill import config as C
 from corpusmill.functions.urls import indexable
 from corpusmill.operators import delta, facets
-from corpusmill.plans.common import CUR, KEYS, chunks
-from corpusmill.session import ensure_checkpoint_dir
+from corpusmill.operators.ranking import numbered
+from corpusmill.operators.skew import hot_threshold, salted_lookup
+from corpusmill.plans.common import CUR, KEYS, current
+from corpusmill.session import cut_lineage, ensure_checkpoint_dir
 from corpusmill.sources.files import manifest_cell
 from corpusmill.sources.tables import table
 
@@ -25,7 +28,7 @@ def list_categories(spark, d):
 
 
 def index_stats(spark, d):
-    return facets.index_stats(chunks(spark, d))
+    return facets.index_stats(current(spark, d, "relpath", "category", "tokens"))
 
 
 def related_concepts(spark, d):
@@ -37,15 +40,23 @@ def file_table(spark, d):
     c = table(spark, d, "chunks")
     m = facets.memberships(c, {"tag": "tags", "concept": "concepts"})
     sets = m.groupBy("file_id").pivot("kind", ["tag", "concept"]).agg(F.array_join(F.sort_array(F.collect_set("item")), "|"))
-    first = chunks(spark, d).groupBy("file_id").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("chunk_id"))).alias("title"), F.count("*").alias("n_chunks"))
+    first = current(spark, d, "title").groupBy("file_id").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("chunk_id"))).alias("title"), F.count("*").alias("n_chunks"))
     return first.join(sets, "file_id", "left").select("file_id", "title", "n_chunks", F.coalesce("tag", F.lit("")).alias("tags"), F.coalesce("concept", F.lit("")).alias("concepts"))
 
 
 def file_detail(spark, d):
-    """Per file its path and the ordered headings of its current chunks; the parts of a large file are hashed where they are and only their digests are gathered."""
-    part = F.struct("chunk_id", F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8).alias("digest"))
-    c = chunks(spark, d).groupBy("file_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    return c.join(table(spark, d, "files").select("file_id", "relpath"), "file_id", "left").select("file_id", "relpath", F.size("parts").alias("n_parts"), F.md5(F.array_join(F.transform("parts", lambda p: F.concat(p["chunk_id"], p["digest"])), ",")).alias("digest"))
+    """Per file its path, the number of its current chunks and a digest of their texts: a sum over the chunks, so that a file of any size is digested where its rows are."""
+    part = F.md5(F.concat_ws("/", "chunk_id", F.md5(F.coalesce("text", F.lit(""))))).alias("part")
+    c = current(spark, d, part, text=True).groupBy("file_id").agg(F.count("*").alias("n_parts"), F.sum(F.conv(F.substring("part", 1, 12), 16, 10).cast("decimal(20,0)")).cast("string").alias("digest"))
+    return c.join(table(spark, d, "files").select("file_id", "relpath"), "file_id", "left").select("file_id", "relpath", "n_parts", "digest")
+
+
+def file_chunks(spark, d):
+    """The current chunks of every file in order, with their place in it."""
+    rows = cut_lineage(numbered(current(spark, d, "heading_path", "tokens"), ["file_id", "chunk_id"], "at"))
+    first = rows.groupBy("file_id").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    placed = salted_lookup(rows, first, "file_id", "n", hot_rows=hot_threshold(rows.count()))
+    return placed.select(*KEYS, (F.col("at") - F.col("first") + 1).alias("place"), "heading_path", "tokens")
 
 
 def manifest(spark, d):
@@ -62,7 +73,7 @@ def index_header(spark, d):
 def chunk_export(spark, d):
     """File attributes on every current chunk."""
     f = table(spark, d, "files").select("file_id", "source_type", "n_pages")
-    return chunks(spark, d).join(f, "file_id", "left").select(*KEYS, "relpath", "heading_path", "source_type", "n_pages", F.length("text").alias("n_chars"))
+    return current(spark, d, "relpath", "heading_path", F.length("text").alias("n_chars"), text=True).join(f, "file_id", "left").select(*KEYS, "relpath", "heading_path", "source_type", "n_pages", "n_chars")
 
 
 def mirror_groups(spark, d):
@@ -73,28 +84,46 @@ def mirror_groups(spark, d):
 
 
 def stale_pages(spark, d):
-    """Chunks whose file is not listed any more, and files without chunks: what a mirror would move away or leave empty."""
-    f, c = table(spark, d, "files").select("file_id"), table(spark, d, "chunks").select("file_id").distinct()
-    return c.join(f, "file_id", "left_anti").select("file_id", F.lit("no file").alias("state")).unionByName(f.join(c, "file_id", "left_anti").select("file_id", F.lit("no chunks").alias("state")))
+    """Pages that a mirror of the Markdown files alone would move away (chunks of other files) or find empty (their files without current text)."""
+    f = table(spark, d, "files").where("type = 'md'").select("file_id")
+    c = current(spark, d, (F.trim(F.coalesce("text", F.lit(""))) != "").alias("filled"), text=True).groupBy("file_id").agg(F.bool_or("filled").alias("filled"))
+    return c.join(f, "file_id", "left_anti").select("file_id", F.lit("no file").alias("state")).unionByName(f.join(c.where("filled"), "file_id", "left_anti").select("file_id", F.lit("no text").alias("state")))
+
+
+def _digests(spark, d):
+    return current(spark, d, F.sha1(F.col("text").cast("binary")).alias("sha1"), text=True).where("sha1 IS NOT NULL").select(*KEYS, "sha1")
 
 
 def embed_delta(spark, d):
     """Current chunks against the texts that were embedded."""
-    now = chunks(spark, d).where("text IS NOT NULL").select(F.concat_ws("/", *KEYS).alias("k"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
-    return delta.hash_delta(now, table(spark, d, "emb_ids"), "k", "sha1")
+    return delta.hash_delta(_digests(spark, d).select(F.concat_ws("/", *KEYS).alias("k"), "sha1"), table(spark, d, "emb_ids"), "k", "sha1")
+
+
+def embed_plan(spark, d):
+    """For every current chunk the row of the vector that can be used again, or null where one is to be made."""
+    return delta.reusable(_digests(spark, d), table(spark, d, "emb_ids"), "sha1", "row_ix")
+
+
+def embed_validity(spark, d):
+    """Whether the earlier run can be built upon: its ids and vectors match one to one and have one length, and why not."""
+    return delta.run_validity(table(spark, d, "emb_matrix"), table(spark, d, "emb_ids"), "row_ix", "embedding")
+
+
+def embedding_rows(spark, d):
+    """Lengths of vectors and how many rows have each; a vector that is null has length -1."""
+    n = F.coalesce(F.when(F.col("embedding").isNotNull(), F.size("embedding")), F.lit(-1)).cast("int").alias("length")
+    return table(spark, d, "emb_matrix").groupBy(n).agg(F.count("*").alias("n"))
 
 
 def unembedded(spark, d):
     """Current chunks without a vector, by category."""
     ids = table(spark, d, "emb_ids").select(*KEYS).distinct()
-    return chunks(spark, d).join(ids, KEYS, "left_anti").groupBy("category").agg(F.count("*").alias("n"))
+    return current(spark, d, "category").join(ids, KEYS, "left_anti").groupBy("category").agg(F.count("*").alias("n"))
 
 
 def source_fingerprint(spark, d):
-    """Whether two scans of the table agree: one digest, whatever the order of rows."""
-    f = table(spark, d, "files")
-    a, b = delta.fingerprint(f, ["relpath", "n_tokens"]), delta.fingerprint(f.repartition(3), ["relpath", "n_tokens"]).withColumnRenamed("digest", "again")
-    return a.join(b, "n").select("n", (F.col("digest") == F.col("again")).alias("same"))
+    """One digest of all files, whatever the order of rows, and their number."""
+    return delta.fingerprint(table(spark, d, "files"), ["relpath", "n_tokens"])
 
 
 def daily_log_upsert(spark, d):
@@ -124,14 +153,27 @@ def stream_daily_counts(spark, d):
 
 
 def stream_first_deliveries(spark, d):
-    """Entries without repeats, by day, kind and title."""
-    from corpusmill.streaming.log import run_available, without_repeats
+    """Entries without repeats, by day, kind and title: the stream's state holds half a year, and what is older is looked up among those written."""
+    from corpusmill.streaming.log import append_unseen, run_available, without_repeats
 
     s, folder = _stream(spark, d, "first")
     keys = ["entry_date", "kind", "title"]
-    once = without_repeats(s.where("ingested_at IS NOT NULL"), keys, "ingested_at", "36500 days").select(*keys)
-    run_available(once, "", f"{folder}/state", "append", lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
-    return spark.read.schema("entry_date date, kind string, title string").parquet(f"{folder}/out").select(F.col("entry_date").cast("string").alias("entry_date"), "kind", "title")
+    once = without_repeats(s.where("ingested_at IS NOT NULL"), keys, "ingested_at").select(*keys)
+    schema = "entry_date date, kind string, title string"
+    run_available(once, "", f"{folder}/state", "append", append_unseen(f"{folder}/out", keys, schema))
+    return spark.read.schema(schema).parquet(f"{folder}/out").select(F.col("entry_date").cast("string").alias("entry_date"), "kind", "title")
+
+
+def stream_embed_delta(spark, d):
+    """Deliveries of chunks as a stream: each batch's texts that were neither embedded nor met in an earlier batch, once each."""
+    from corpusmill.streaming.log import append_unseen, read_log, run_available
+
+    folder = f"{ensure_checkpoint_dir(spark)}/delta-{spark.sparkContext.startTime}-{abs(hash(d)) % 10**8}"
+    s = read_log(spark, f"{d}/chunks.parquet", table(spark, d, "chunks").schema)
+    known = table(spark, d, "emb_ids").select("sha1").where("sha1 IS NOT NULL").distinct()
+    rows = s.where("text IS NOT NULL").select(F.sha1(F.col("text").cast("binary")).alias("sha1"))
+    run_available(rows, "", f"{folder}/state", "append", append_unseen(f"{folder}/out", ["sha1"], "sha1 string", known))
+    return spark.read.schema("sha1 string").parquet(f"{folder}/out").select("sha1")
 
 
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -144,8 +186,9 @@ def _items(column):
 
 QUERIES = {
     f.__name__: f
-    for f in (list_tags, list_concepts, list_categories, index_stats, related_concepts, file_table, file_detail, manifest, index_header, chunk_export, mirror_groups, stale_pages, embed_delta, unembedded, source_fingerprint, daily_log_upsert, log_newest_first, stream_daily_counts, stream_first_deliveries)
+    for f in (list_tags, list_concepts, list_categories, index_stats, related_concepts, file_table, file_detail, file_chunks, manifest, index_header, chunk_export, mirror_groups, stale_pages, embed_delta, embed_plan, embed_validity, embedding_rows, unembedded, source_fingerprint, daily_log_upsert, log_newest_first, stream_daily_counts, stream_first_deliveries, stream_embed_delta)
 }
+_ROOT = ", ".join(f"'{x}'" for x in C.META_DOCUMENTS) or "''"
 _CELL = "coalesce(regexp_replace({c}::VARCHAR, '[\\x00-\\x1f\\x7f]+', ' ', 'g'), '') AS {c}"
 SQL = {
     "list_tags": f"SELECT item AS tag, count(*) AS n_files FROM {_items('tags')} GROUP BY item HAVING count(*) >= 2",
@@ -161,20 +204,32 @@ SQL = {
     "file_table": f"""WITH {CUR}, f AS (SELECT file_id, arg_min(title, chunk_id) AS title, count(*) AS n_chunks FROM cur GROUP BY file_id),
       t AS (SELECT file_id, string_agg(item, '|' ORDER BY item) AS tags FROM {_items('tags')} GROUP BY file_id), c AS (SELECT file_id, string_agg(item, '|' ORDER BY item) AS concepts FROM {_items('concepts')} GROUP BY file_id)
       SELECT f.file_id, title, n_chunks, coalesce(tags, '') AS tags, coalesce(concepts, '') AS concepts FROM f LEFT JOIN t USING (file_id) LEFT JOIN c USING (file_id)""",
-    "file_detail": f"""WITH {CUR}, p AS (SELECT file_id, count(*) AS n_parts, md5(string_agg(chunk_id || substr(md5(coalesce(text, '')), 1, 8), ',' ORDER BY chunk_id)) AS digest FROM cur GROUP BY file_id)
+    "file_detail": f"""WITH {CUR}, p AS (SELECT file_id, count(*) AS n_parts, sum(('0x' || substr(md5(chunk_id || '/' || md5(coalesce(text, ''))), 1, 12))::BIGINT)::HUGEINT::VARCHAR AS digest FROM cur GROUP BY file_id)
       SELECT p.file_id, relpath, n_parts, digest FROM p LEFT JOIN files USING (file_id)""",
-    "manifest": "SELECT " + ", ".join(_CELL.format(c=c) for c in "file_id type category subcategory title n_chunks n_tokens n_pages source_type relpath".split()) + """ FROM files
+    "file_chunks": f"WITH {CUR} SELECT file_id, chunk_id, row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) AS place, heading_path, tokens FROM cur",
+    "manifest": "SELECT " + ", ".join(_CELL.format(c=c) for c in "file_id type category subcategory title n_chunks n_tokens n_pages source_type relpath".split()) + f""" FROM files
       WHERE NOT regexp_matches(relpath, '(^|/)\\.') AND NOT list_has_any(string_split(relpath, '/'), ['_trash', '_add_by_me', '_logs']) AND NOT (list_contains(string_split(relpath, '/'), '_index') AND NOT list_contains(string_split(relpath, '/'), 'saved_queries'))
-        AND NOT (NOT contains(relpath, '/') AND starts_with(relpath, '_')) AND NOT regexp_matches(relpath, '(^|/)_audit_[^/]*\\.md$')""",
+        AND NOT (NOT contains(relpath, '/') AND (starts_with(relpath, '_') OR relpath IN ({_ROOT}))) AND NOT regexp_matches(relpath, '(^|/)_audit_[^/]*\\.md$')""",
     "index_header": "SELECT count(*) AS n_files, sum(n_chunks)::BIGINT AS n_chunks, sum(n_tokens)::BIGINT AS n_tokens, count(*) FILTER (WHERE type = 'pdf') AS n_pdf FROM files",
     "chunk_export": f"WITH {CUR} SELECT c.file_id, chunk_id, c.relpath, heading_path, source_type, n_pages, length(text)::INTEGER AS n_chars FROM cur c LEFT JOIN files f ON f.file_id = c.file_id",
     "mirror_groups": f"""SELECT 'category' AS page, coalesce(category, '') AS name, count(*) AS n_files FROM files GROUP BY 2 UNION ALL
       SELECT * FROM (SELECT 'tag', item, count(*) AS n FROM {_items('tags')} GROUP BY item ORDER BY n DESC, item LIMIT 80)""",
-    "stale_pages": "SELECT DISTINCT file_id, 'no file' AS state FROM chunks WHERE file_id NOT IN (SELECT file_id FROM files) UNION ALL SELECT file_id, 'no chunks' FROM files WHERE file_id NOT IN (SELECT file_id FROM chunks)",
+    "stale_pages": f"""WITH {CUR}, f AS (SELECT file_id FROM files WHERE type = 'md'), c AS (SELECT file_id, bool_or(trim(coalesce(text, '')) <> '') AS filled FROM cur GROUP BY file_id)
+      SELECT file_id, 'no file' AS state FROM c WHERE file_id NOT IN (SELECT file_id FROM f) UNION ALL SELECT file_id, 'no text' FROM f WHERE file_id NOT IN (SELECT file_id FROM c WHERE filled)""",
+    "embed_plan": f"""WITH {CUR}, was AS (SELECT sha1, min(row_ix) AS row_ix FROM emb_ids WHERE sha1 IS NOT NULL GROUP BY sha1)
+      SELECT file_id, chunk_id, sha1, row_ix FROM (SELECT file_id, chunk_id, sha1(text) AS sha1 FROM cur WHERE text IS NOT NULL) LEFT JOIN was USING (sha1)""",
+    "embed_validity": """WITH m AS (SELECT DISTINCT row_ix, len(embedding) AS l FROM emb_matrix WHERE row_ix IS NOT NULL), i AS (SELECT DISTINCT row_ix FROM emb_ids WHERE row_ix IS NOT NULL)
+      SELECT n_ids, n_vectors, unmatched, lengths, CASE WHEN n_vectors = 0 THEN 'no vectors' WHEN unmatched > 0 THEN 'ids and vectors differ' WHEN lengths > 1 THEN 'lengths differ' ELSE 'valid' END AS state
+      FROM (SELECT (SELECT count(*) FROM i) AS n_ids, (SELECT count(DISTINCT row_ix) FROM m) AS n_vectors,
+        (SELECT count(*) FROM i WHERE row_ix NOT IN (SELECT row_ix FROM m)) + (SELECT count(DISTINCT row_ix) FROM m WHERE row_ix NOT IN (SELECT row_ix FROM i)) AS unmatched, (SELECT count(DISTINCT l) FROM m) AS lengths)""",
+    "embedding_rows": "SELECT coalesce(len(embedding), -1)::INTEGER AS length, count(*) AS n FROM emb_matrix GROUP BY 1",
+    "stream_embed_delta": "SELECT DISTINCT sha1(text) AS sha1 FROM chunks WHERE text IS NOT NULL AND sha1(text) NOT IN (SELECT sha1 FROM emb_ids WHERE sha1 IS NOT NULL)",
     "embed_delta": f"""WITH {CUR}, now AS (SELECT sha1(text) AS d FROM cur WHERE text IS NOT NULL), was AS (SELECT DISTINCT sha1 AS d FROM emb_ids WHERE sha1 IS NOT NULL)
       SELECT state, count(*) AS n FROM (SELECT CASE WHEN d IN (SELECT d FROM was) THEN 'reused' ELSE 'encoded' END AS state FROM now UNION ALL SELECT 'dropped' FROM was WHERE d NOT IN (SELECT d FROM now)) GROUP BY state""",
     "unembedded": f"WITH {CUR} SELECT category, count(*) AS n FROM cur c WHERE NOT EXISTS (SELECT 1 FROM emb_ids e WHERE e.file_id = c.file_id AND e.chunk_id = c.chunk_id) GROUP BY category",
-    "source_fingerprint": "SELECT count(*) AS n, true AS same FROM files",
+    "source_fingerprint": r"""WITH h AS (SELECT sha256(coalesce(relpath, '\N') || '|' || coalesce(n_tokens::VARCHAR, '\N')) AS h FROM files),
+      s AS (SELECT coalesce(sum(('0x' || substr(h, 1, 12))::BIGINT), 0)::HUGEINT::VARCHAR AS a, coalesce(sum(('0x' || substr(h, 13, 12))::BIGINT), 0)::HUGEINT::VARCHAR AS b, count(*) AS n FROM h)
+      SELECT sha256(a || '|' || b || '|' || n) AS digest, n FROM s""",
     "daily_log_upsert": """WITH r AS (SELECT *, lower(trim(kind)) AS k FROM log_entries WHERE entry_date IS NOT NULL AND trim(kind) <> '')
       SELECT entry_date::VARCHAR AS entry_date, k AS kind, arg_max_null(title, (ingested_at, log_id)) AS title, arg_max_null(body, (ingested_at, log_id)) AS body, count(*) AS runs, CASE WHEN count(*) > 1 THEN 'Runs today: ' || count(*) END AS note FROM r GROUP BY ALL""",
     "log_newest_first": "SELECT log_id, '## [' || entry_date || '] ' || coalesce(lower(trim(kind)), '') || ' | ' || coalesce(title, '') AS heading FROM log_entries WHERE entry_date IS NOT NULL",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import config as C
 from corpusmill.functions.text import raw_tokens
-from corpusmill.operators.delta import current_chunks
+from corpusmill.operators import delta
 from corpusmill.operators.dense import unit, usable
 from corpusmill.operators.lexical import Lexicon
 from corpusmill.sources.tables import table
@@ -16,8 +16,9 @@ DIMENSION = 128
 KEYS = ["file_id", "chunk_id"]
 
 
-def chunks(spark, d) -> DataFrame:
-    return current_chunks(table(spark, d, "chunks"))
+def current(spark, d, *columns, text: bool = False) -> DataFrame:
+    """The current row of each chunk: its keys and the columns asked for. text: whether any of them depends on the text."""
+    return delta.current_chunks(table(spark, d, "chunks"), *columns, text=text)
 
 
 def lexicon(spark, d) -> Lexicon:
@@ -39,6 +40,11 @@ def vectors(spark, d) -> DataFrame:
     return rows.join(ids, "row_ix").select("row_ix", "i.file_id", "i.chunk_id", unit(F.col("e")).alias("vector"))
 
 
+def chunk_vectors(v: DataFrame) -> DataFrame:
+    """file_id, chunk_id, vector: one vector for each chunk, that of its smallest row_ix."""
+    return v.groupBy(*KEYS).agg(F.min_by("vector", "row_ix").alias("vector"))
+
+
 CUR = """cur AS (SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY file_id, chunk_id
   ORDER BY indexed_at DESC NULLS LAST, text DESC NULLS LAST, tags DESC NULLS LAST, concepts DESC NULLS LAST) AS _r FROM chunks) WHERE _r = 1)"""
 VEC = """vec AS (SELECT m.row_ix, i.id.file_id AS file_id, i.id.chunk_id AS chunk_id, m.v FROM

@@ -132,6 +132,11 @@ def duplicate_summary(spark, d):
     return duplicate_groups(spark, d).groupBy("group_type").agg(F.count_distinct("group_key").alias("n_groups"), F.count("*").alias("n_rows"))
 
 
+def document_duplicates(spark, d):
+    """Documents with byte-identical texts, and those whose file names end in the same hash."""
+    return D.duplicate_groups(D.keyed(table(spark, d, "documents"), "doc_id", None, None, "relpath", "text"), "doc_id")
+
+
 def exact_texts(spark, d):
     """Groups of documents with byte-identical text, by digest."""
     g = table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha1(F.col("text").cast("binary")).alias("sha1")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
@@ -206,8 +211,10 @@ src AS (SELECT *, {_CANON} AS canonical, coalesce(regexp_replace(lower(regexp_ex
 _GROUPS = f"""{_SRC}, keyed AS (SELECT row_id, 'canonical_url' AS group_type, canonical AS group_key, 1 AS p FROM src WHERE canonical <> '' UNION ALL
   SELECT row_id, 'title_host', ctitle || '@' || host, 2 FROM src WHERE ctitle <> '' AND host <> '' UNION ALL SELECT row_id, 'hash_suffix', 'suffix:' || suffix, 4 FROM src WHERE suffix IS NOT NULL),
 sized AS (SELECT *, count(*) OVER (PARTITION BY group_type, group_key) AS size FROM keyed), m AS (SELECT * FROM sized WHERE size > 1),
-inside AS (SELECT DISTINCT x.group_type, x.group_key FROM (SELECT x.group_type, x.group_key, x.size, y.group_type AS t2, y.group_key AS k2, count(*) AS c FROM m x JOIN m y ON x.row_id = y.row_id AND y.p < x.p GROUP BY ALL) x WHERE c = size),
-dg AS (SELECT group_type, group_key, row_id, size FROM m WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.group_type = m.group_type AND i.group_key = m.group_key))"""
+url AS (SELECT row_id FROM m WHERE p = 1), t AS (SELECT DISTINCT group_key FROM m WHERE p = 2 AND row_id NOT IN (SELECT row_id FROM url)),
+kept AS (SELECT * FROM m WHERE p = 1 OR (p = 2 AND group_key IN (SELECT group_key FROM t))),
+inside AS (SELECT DISTINCT x.group_key FROM (SELECT x.group_key, x.size, y.group_type AS t2, y.group_key AS k2, count(*) AS c FROM m x JOIN kept y ON x.row_id = y.row_id WHERE x.p = 4 GROUP BY ALL) x WHERE c = size),
+dg AS (SELECT group_type, group_key, row_id, size FROM kept UNION ALL SELECT group_type, group_key, row_id, size FROM m WHERE p = 4 AND group_key NOT IN (SELECT group_key FROM inside))"""
 _FILLED = "CASE WHEN coalesce(lower(trim({c})) NOT IN ('', 'null', '~', '[]', '[ ]'), false) {more} THEN 1 ELSE 0 END"
 _RICH = " + ".join([_FILLED.format(c=c, more="") for c in _SCALARS] + [_FILLED.format(c=c, more=f"AND length({c}) > 2") for c in _LISTS] + ["CASE WHEN contains(url, '://') THEN 1 ELSE 0 END"])
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -215,7 +222,7 @@ _SIDE = "side AS (SELECT filename, max(row_id) AS row_id, arg_max(coalesce(sourc
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_urls, canonical_titles, url_handlers, first_per_handler, fetched_markers, title_fixes, name_slugs, clean_days, short_hashes, path_parts, list_cells, sidecar_last_wins, files_with_sidecar, refetch_guard, refetch_guard_addresses, duplicate_groups, duplicate_winners, duplicate_summary, exact_texts, vocabulary_drift, trigger_hits, sentence_packs, document_chunks, summaries, scrubbed, metadata_changes, fetch_claims, front_fields, code_lines)
+    for f in (canonical_urls, canonical_titles, url_handlers, first_per_handler, fetched_markers, title_fixes, name_slugs, clean_days, short_hashes, path_parts, list_cells, sidecar_last_wins, files_with_sidecar, refetch_guard, refetch_guard_addresses, duplicate_groups, duplicate_winners, duplicate_summary, document_duplicates, exact_texts, vocabulary_drift, trigger_hits, sentence_packs, document_chunks, summaries, scrubbed, metadata_changes, fetch_claims, front_fields, code_lines)
 }
 SQL = {
     "canonical_urls": f"WITH {_SRC} SELECT row_id, coalesce(canonical, '') AS canonical, host FROM src",
@@ -246,6 +253,11 @@ SQL = {
     "duplicate_winners": f"""WITH {_GROUPS}, r AS (SELECT row_id, {_RICH} AS richness FROM notion_sources)
       SELECT group_type, group_key, row_id, size, richness, row_number() OVER (PARTITION BY group_type, group_key ORDER BY richness DESC, row_id) = 1 AS winner FROM dg JOIN r USING (row_id)""",
     "duplicate_summary": f"WITH {_GROUPS} SELECT group_type, count(DISTINCT group_key) AS n_groups, count(*) AS n_rows FROM dg GROUP BY group_type",
+    "document_duplicates": """WITH k AS (SELECT doc_id, 'content_hash' AS group_type, 'sha1:' || substr(sha1(text), 1, 12) AS group_key FROM documents WHERE text IS NOT NULL
+        UNION ALL SELECT doc_id, 'hash_suffix', 'suffix:' || regexp_extract(relpath, '_([0-9a-f]{8})\\.[A-Za-z0-9]+$', 1) FROM documents WHERE regexp_matches(relpath, '_([0-9a-f]{8})\\.[A-Za-z0-9]+$')),
+      m AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY group_type, group_key) AS size FROM k) WHERE size > 1),
+      i AS (SELECT x.group_key FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.group_type = 'hash_suffix' AND y.group_type = 'content_hash' GROUP BY x.group_key, x.size, y.group_key HAVING count(*) = x.size)
+      SELECT * FROM m WHERE group_type = 'content_hash' OR group_key NOT IN (SELECT group_key FROM i)""",
     "exact_texts": "SELECT sha1(text) AS sha1, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "vocabulary_drift": """WITH u AS (SELECT DISTINCT unnest(tags) AS name FROM chunks), k AS (SELECT DISTINCT name FROM vocab_terms WHERE kind = 'tag')
       SELECT name, 'unknown' AS state FROM u WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM k) UNION ALL SELECT name, 'unused' FROM k WHERE name NOT IN (SELECT name FROM u WHERE name IS NOT NULL)""",

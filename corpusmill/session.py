@@ -21,18 +21,23 @@ def build_session(app: str = "corpusmill", cores: int | str = "*", shuffle_parti
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(CHECKPOINT_KEY, tempfile.mkdtemp(prefix="spark-checkpoint-"))
         .getOrCreate()
     )
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where that is unset in local mode. On a cluster it must be set: executors share no local folder."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not named:
+        if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -32,3 +32,22 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "co
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     w = w.foreachBatch(each) if each else w.format("memory").queryName(name)
     w.start().awaitTermination()
+
+
+def append_unseen(target: str, keys: list[str], schema: str, known: DataFrame | None = None) -> Callable:
+    """What foreachBatch runs: the batch's rows whose keys are neither in `known` nor among those written to target, once each, written to a folder of the batch's own.
+
+    A batch that is run again after a failure overwrites its folder, and doesn't see what it wrote before.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.select(*keys).distinct()
+        same = lambda other: [fresh[k].eqNullSafe(other[k]) for k in keys]
+        if number > 0:
+            written = batch.sparkSession.read.schema(f"{schema}, batch bigint").parquet(target).where(F.col("batch") < number)
+            fresh = fresh.join(written, same(written), "left_anti")
+        if known is not None:
+            fresh = fresh.join(known, [fresh[k].eqNullSafe(known[k]) for k in keys], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return each

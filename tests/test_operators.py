@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from corpusmill.functions import markdown as M
 from corpusmill.functions import urls as U
 from corpusmill.functions.text import raw_tokens, token_estimate, word_count
-from corpusmill.operators import chunking, delta, duplicates, evaluation, facets, graph, skew
-from corpusmill.operators.dense import cosine_pairs, dense_topk
+from corpusmill.operators import chunking, delta, duplicates, evaluation, facets, graph, lexical, skew
+from corpusmill.operators.dense import cosine_pairs, dense_topk, sign_bands, vector_classes
 from corpusmill.operators.fusion import rrf
 from corpusmill.functions import titles
 from corpusmill.functions.stem import stem_en, stems
 from corpusmill.operators.lexical import bm25, expand_acronyms, join_phrases, rerank
-from corpusmill.operators.ranking import numbered
+from corpusmill.operators.ranking import numbered, within_pairs
+from corpusmill.operators.search import Expansion, Filters, neighbours_of, search
 from corpusmill.operators.skew import hot_threshold, salted_lookup
 from corpusmill.sources.files import front_matter, parse_markdown, qrel_violations, scan_tree
 
@@ -173,20 +174,42 @@ def test_expand_takes_the_best_of_each_seed(spark):
     assert [(r.file_id, r.via, r.score) for r in graph.expand(seeds, e).collect()] == [("d", "b", 8.0)]
 
 
-def test_dense_and_cosine_pairs_equal_brute_force(spark):
+def test_dense_topk_equals_brute_force_in_tiles(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
-    base = rng.standard_normal((12, 16))
-    x = np.vstack([base, base + 0.15 * rng.standard_normal((12, 16)), base[:1]])
+    x = rng.integers(-2, 3, (60, 6)).astype(float) + 0.01  # many ties
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), "z") for i, v in enumerate(x)], "id long, vector array<double>, qid string")
+    s = np.round(x @ x.T, 9)
+    asked = df.where("id % 4 = 0").select(F.col("id").alias("qid"), "vector")
+    for tile in (7, 1000):
+        found: dict = {}
+        for r in dense_topk(asked, df, "id", "vector", 5, tile=tile).orderBy("qid", "rank").collect():
+            found.setdefault(r.qid, []).append(r.id)
+        assert found == {q: sorted(range(60), key=lambda j: (-s[q, j], j))[:5] for q in range(0, 60, 4)}
+    assert dense_topk(asked.where("false"), df, "id", "vector", 5).count() == 0
+    assert dense_topk(asked, df.where("false"), "id", "vector", 5).count() == 0
+    assert dense_topk(asked, df.limit(2), "id", "vector", 5).count() == 30
+
+
+def test_cosine_pairs_recall_and_classes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((300, 24))
+    x = np.vstack([base, base + 0.1 * rng.standard_normal((300, 24)), base[:40], base[:1], base[:1]])
     x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
     s = x @ x.T
+    classes = {r.id: (r.rep, r.copies) for r in vector_classes(df, "id", "vector").collect()}
+    assert all(classes[600 + i] == (i, 4 if i == 0 else 2) for i in range(40)) and classes[640] == classes[641] == (0, 4) and classes[300] == (300, 1)
     got = {(r.a, r.b) for r in cosine_pairs(df, "id", "vector", 0.88).collect()}
-    linked = {(i, j) for i in range(25) for j in range(i + 1, 25) if s[i, j] >= 0.88}
-    assert got <= linked and {(0, 12), (0, 24), (5, 17)} & linked <= got
-    top = dense_topk(df.where("id = 3").select(F.col("id").alias("qid"), "vector"), df, "id", "vector", 3).orderBy("rank").collect()
-    assert [r.id for r in top] == sorted(range(25), key=lambda j: (-round(s[3, j], 9), j))[:3]
+    linked = {(i, j) for i in range(600) for j in range(i + 1, 600) if s[i, j] >= 0.88}
+    assert got <= linked and len(got) >= 0.99 * len(linked) > 100
+    for n in (10, 10**5, 10**7, 10**9):
+        bits, bands = sign_bands(n, 0.88)
+        assert n / 2**bits <= 16 and (1 - (1 - math.acos(0.88) / math.pi) ** bits) ** bands <= 2e-4
 
 
 def test_salted_lookup_keeps_every_row(spark):
@@ -314,18 +337,136 @@ def test_refetch_guard_keeps_sources_without_a_suffix(spark, tmp_path):
     assert got == {2: sha("https://e.org/2"), 7: sha("https://e.org/7"), 9: sha("https://arxiv.org/pdf/2202.00002.pdf"), 11: "0b0b0b0b"}
 
 
-def test_all_pairs_of_copies_are_linked(spark):
+def test_copies_are_linked_through_their_class(spark):
+    copy, near = [1.0, 0.0, 0.0, 0.0], [0.96, 0.28, 0.0, 0.0]
+    df = spark.createDataFrame([(str(i), copy) for i in range(5)] + [("5", near), ("6", near), ("7", [0.0, 0.0, 1.0, 0.0])], "id string, vector array<double>")
+    classes, pairs = vector_classes(df, "id", "vector"), cosine_pairs(df, "id", "vector", 0.88)
+    assert [(r.a, r.b, round(r.cosine, 6)) for r in pairs.collect()] == [("0", "5", 0.96)]
+    members = spark.createDataFrame([("1", "tag", "x"), ("6", "tag", "x"), ("2", "concept", "y"), ("4", "concept", "y")], "file_id string, kind string, item string")
+    links = spark.createDataFrame([("3", "7")], "a string, b string")
+    edges = {(r.a, r.b): (r.embedding, r.vocab, r.wikilink) for r in graph.first_order(members, links, pairs, classes, 0.2).collect()}
+    stars = {("0", str(i)): (2.0, 0.0, 0.0) for i in range(1, 5)} | {("5", "6"): (2.0, 0.0, 0.0)}
+    assert edges == stars | {("0", "5"): (1.92, 0.0, 0.0), ("1", "6"): (1.92, 0.25, 0.0), ("2", "4"): (2.0, 0.5, 0.0), ("3", "7"): (0.0, 0.0, 3.0)}
+
+
+def test_second_order_edges_join_the_graph(spark):
+    e = spark.createDataFrame([("a", "z", 1.0, 0.0, 0.0, 0.0), ("b", "z", 1.0, 0.0, 0.0, 0.0)], "a string, b string, weight double, vocab double, wikilink double, embedding double")
+    whole = graph.whole_graph(e, graph.second_order(e, 0.5))
+    assert {(r.a, r.b): (r.weight, r.aa) for r in whole.collect()} == {("a", "z"): (1.0, 0.0), ("b", "z"): (1.0, 0.0), ("a", "b"): (5.7708, 5.7708)}
+
+
+def test_insights(spark):
+    labels = spark.createDataFrame([(f"f{i}", 0, True) for i in range(6)] + [("g", 1, True)], "file_id string, community int, settled boolean")
+    edges = spark.createDataFrame([("f0", "f1", 0.4), ("f1", "f2", 3.0)], "a string, b string, weight double")
+    members = spark.createDataFrame([("f0", "concept", "y"), ("f1", "concept", "y"), ("f1", "concept", "x"), ("f2", "concept", "w"), ("f3", "concept", "v"), ("f0", "tag", "t")], "file_id string, kind string, item string")
+    degree = graph.degrees(edges, labels)
+    assert {r.file_id for r in graph.isolated(degree).collect()} == {"f0", "f3", "f4", "f5", "g"}
+    found = graph.sparse_communities(graph.community_stats(edges, labels), members, labels).collect()
+    assert [(r.community, r.size, r.density, r.concepts) for r in found] == [(0, 6, 0.1333, "y|v|w")]
+
+
+def _deliveries(spark):
+    """Chunks with older versions, repeated rows and a version out of place."""
+    rows = [
+        ("f1", "c0", 1, "old words about tides", "T", "H", ["a"], "md"), ("f1", "c0", 2, "tides tides here", "Tides", "H", ["a"], "md"), ("f1", "c0", 2, "tides tides here", "Tides", "H", ["a"], "md"),
+        ("f2", "c0", 5, "goal drift", "G", "H", ["b"], "md"), ("f2", "c0", 3, "tides tides tides tides", "G", "H", ["a"], "md"), ("f2", "c1", 5, None, None, None, None, "md"),
+        ("f3", "c0", None, "tides once and goal", "X", "tides", ["a"], "pdf"),
+    ]
+    df = spark.createDataFrame(rows, "file_id string, chunk_id string, at long, text string, title string, heading_path string, tags array<string>, kind string")
+    more = df.select("*", F.timestamp_seconds("at").alias("indexed_at"), F.concat("file_id", F.lit("."), "kind").alias("relpath"), F.lit(1).alias("tokens"), F.col("tags").alias("concepts"), F.lit("c").alias("category"), F.lit("s").alias("subcategory"))
+    return more.drop("at", "kind")
+
+
+def test_bm25_over_deliveries_equals_bm25_over_current_rows(spark):
+    rows = _deliveries(spark)
+    asked = spark.createDataFrame([(1, "tides"), (2, "goal tides"), (3, "nothing"), (4, None)], "qid int, query string")
+    once = delta.current_chunks(rows, "text", "title", "heading_path")
+    assert {(r.file_id, r.chunk_id): r.text for r in once.collect()} == {("f1", "c0"): "tides tides here", ("f2", "c0"): "goal drift", ("f2", "c1"): None, ("f3", "c0"): "tides once and goal"}
+    narrow = delta.current_chunks(rows, "title", text=False)
+    assert {(r.file_id, r.chunk_id): r.title for r in narrow.collect()} == {(r.file_id, r.chunk_id): r.title for r in once.collect()}
+    want = [tuple(r) for r in bm25(asked, once, delta.KEYS).orderBy("qid", "rank").collect()]
+    got = [tuple(r) for r in bm25(asked, rows, delta.KEYS, current=lexical.current_lengths(rows)).orderBy("qid", "rank").collect()]
+    assert got == want and len(got) == 5
+    assert bm25(asked, rows.where("false"), delta.KEYS, current=lexical.current_lengths(rows.where("false"))).count() == 0
+    assert bm25(asked.where("false"), rows, delta.KEYS).count() == 0
+
+
+def test_search_modes_filters_and_expansion(spark):
+    rows = _deliveries(spark)
+    vectors = spark.createDataFrame([("f1", "c0", [1.0, 0.0]), ("f2", "c0", [0.0, 1.0]), ("f3", "c0", [0.6, 0.8])], "file_id string, chunk_id string, vector array<double>")
+    asked = spark.createDataFrame([(1, "tides", [0.0, 1.0]), (2, None, [1.0, 0.0]), (3, "zzz", None)], "qid int, query string, vector array<double>")
+    run = lambda **how: [(r.qid, r.file_id, r.source) for r in search(asked, rows, vectors=vectors, **how).orderBy("qid", "rank").collect()]
+    assert run() == [(1, "f1", None), (1, "f3", None)]
+    assert run(filters=Filters(file_type="pdf")) == [(1, "f3", None)] and run(filters=Filters(tag="b")) == [] and run(filters=Filters(concept="a", category="c"), k=1) == [(1, "f1", None)]
+    assert run(mode="semantic", k=2) == [(1, "f2", None), (1, "f3", None), (2, "f1", None), (2, "f3", None)]
+    edges = spark.createDataFrame([("f1", "f2", 4.0), ("f1", "f4", 9.0)], "a string, b string, weight double")
+    wide = run(mode="hybrid", k=8, edges=edges, filters=Filters(file_type="md"))
+    assert set(wide) == {(1, "f1", None), (1, "f2", None), (2, "f1", None), (2, "f2", None)}
+    lexical_only = search(asked.withColumn("vector", F.lit(None).cast("array<double>")), rows, mode="hybrid", vectors=vectors, edges=edges, filters=Filters(file_type="md"), columns=["title"]).orderBy("rank").collect()
+    assert [(r.file_id, r.chunk_id, r.source, r.score > 0) for r in lexical_only] == [("f1", "c0", None, True), ("f2", "c0", "graph_expansion", False)]
+    again = search(asked, rows, mode="hybrid", vectors=vectors, edges=edges, reranked=True, k=1).collect()
+    assert {(r.qid, r.file_id) for r in again} == {(1, "f1"), (2, "f1")}
+    assert search(asked, rows.where("false"), mode="hybrid", vectors=vectors, edges=edges).count() == 0
+    with pytest.raises(ValueError):
+        search(asked, rows, mode="other")
+
+
+def test_expansion_decays_over_hops_and_stays_in_the_pool(spark):
+    edges = spark.createDataFrame([("a", "b", 4.0), ("b", "c", 8.0), ("c", "d", 30.0), ("a", "x", 9.0)], "a string, b string, weight double")
+    hits = spark.createDataFrame([(1, "a", 1)], "qid int, file_id string, rank int")
+    pool = spark.createDataFrame([(f,) for f in "abcd"], "file_id string")
+    bring = lambda hops: sorted(r.file_id for r in neighbours_of(hits, edges, pool, Expansion(hops=hops)).collect())
+    assert bring(1) == ["b"] and bring(2) == ["b", "c"] and bring(3) == ["b", "c", "d"]
+
+
+def test_pairs_within_groups_of_any_size(spark):
     import itertools
 
-    copy, near = [1.0, 0.0, 0.0, 0.0], [0.96, 0.28, 0.0, 0.0]
-    df = spark.createDataFrame([(i, copy) for i in range(5)] + [(5, near), (6, near), (7, [0.0, 0.0, 1.0, 0.0])], "id long, vector array<double>")
-    pairs = cosine_pairs(df, "id", "vector", 0.88)
-    got = {(r.a, r.b): round(r.cosine, 6) for r in pairs.collect()}
-    assert pairs.count() == len(got) and got == {(a, b): 0.96 if a < 5 <= b else 1.0 for a, b in itertools.combinations(range(7), 2)}
-    members = spark.createDataFrame([("1", "tag", "x")], "file_id string, kind string, item string").where("false")
-    cosines = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "cosine")
-    edges = graph.first_order(members, cosines.select("a", "b").where("false"), cosines, 1.0)
-    assert {(r.a, r.b): r.embedding for r in edges.collect()} == {(str(a), str(b)): 2 * c for (a, b), c in got.items()}
+    rows = [("big", f"i{i}") for i in range(40)] + [("small", "i1"), ("small", "i2"), ("one", "i1")]
+    df = spark.createDataFrame(rows, "g string, item string")
+    for block in (3, 256):
+        got = [(r.g, r.a, r.b) for r in within_pairs(df, "g", "item", block).collect()]
+        assert len(got) == len(set(got)) and set(got) == {("big", *p) for p in itertools.combinations(sorted(f"i{i}" for i in range(40)), 2)} | {("small", "i1", "i2")}
+    df = spark.createDataFrame([("f", ["a", "b", "c"]), ("g", ["b", "a"]), ("h", None)], "file_id string, tags array<string>")
+    assert {(r.term, r.other): (r.shared, r.jaccard) for r in facets.related_terms(df, "tags").collect()} == {("a", "b"): (2, 1.0), ("b", "a"): (2, 1.0), ("a", "c"): (1, 0.5), ("c", "a"): (1, 0.5), ("b", "c"): (1, 0.5), ("c", "b"): (1, 0.5)}
+
+
+def test_title_groups_need_a_member_outside_of_address_groups(spark):
+    rows = [(1, "https://e.org/1", "T", "x_aaaaaaaa.md"), (2, "https://e.org/1", "U", "y_bbbbbbbb.md"), (3, "https://e.org/3", "T", "x_cccccccc.md"), (4, "https://e.org/3", "V", "z.md"), (5, "https://e.org/5", "W", "x_aaaaaaaa.md"), (6, "https://e.org/6", "W", "w.md")]
+    df = spark.createDataFrame(rows, "row_id long, url string, title string, filename string")
+    got = duplicates.duplicate_groups(duplicates.keyed(df)).groupBy("group_type").agg(F.sort_array(F.collect_list("row_id")).alias("r")).collect()
+    assert {r.group_type: r.r for r in got} == {"canonical_url": [1, 2, 3, 4], "title_host": [5, 6], "hash_suffix": [1, 5]}
+    same = spark.createDataFrame([(1, "a", "f_aaaaaaaa.md"), (2, "a", "g_aaaaaaaa.md"), (3, "b", None), (4, None, None)], "doc_id long, text string, relpath string")
+    assert [(r.group_type, r.doc_id) for r in duplicates.duplicate_groups(duplicates.keyed(same, "doc_id", None, None, "relpath", "text"), "doc_id").orderBy("doc_id").collect()] == [("content_hash", 1), ("content_hash", 2)]
+
+
+def test_earlier_runs(spark):
+    ids = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "row_ix long, sha1 string")
+    now = spark.createDataFrame([("k1", "x"), ("k2", "y"), ("k3", None)], "k string, sha1 string")
+    assert {r.k: r.row_ix for r in delta.reusable(now, ids, "sha1", "row_ix").collect()} == {"k1": 1, "k2": None, "k3": None}
+    check = lambda m: delta.run_validity(spark.createDataFrame(m, "row_ix long, v array<float>"), ids, "row_ix", "v").collect()[0].state
+    assert [check([(1, [1.0]), (2, [1.0]), (3, [2.0])]), check([(1, [1.0]), (2, [1.0])]), check([(1, [1.0]), (2, [1.0, 2.0]), (3, [1.0])]), check([])] == ["valid", "ids and vectors differ", "lengths differ", "no vectors"]
+
+
+def test_stream_batches_append_what_is_new(spark, tmp_path):
+    from corpusmill.streaming.log import append_unseen
+
+    each = append_unseen(str(tmp_path / "out"), ["k"], "k string", spark.createDataFrame([("known",)], "k string"))
+    batch = lambda *v: spark.createDataFrame([(x,) for x in v], "k string")
+    for number, rows in [(0, ("a", "a", "known")), (1, ("a", "b", None)), (1, ("a", "b", None)), (2, ("b", None, "c"))]:
+        each(batch(*rows), number)
+    assert sorted((r.k or "") for r in spark.read.schema("k string").parquet(str(tmp_path / "out")).select("k").collect()) == ["", "a", "b", "c"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from corpusmill.session import ensure_checkpoint_dir
+
+    nothing = N(isDefined=lambda: False)
+    session = N(sparkContext=N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: nothing)), getConf=lambda: N(get=lambda *a: None)), conf=N(get=lambda *a: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)
 
 
 def test_bm25_matches_inflected_forms_acronyms_and_phrases(spark):
@@ -353,7 +494,7 @@ def test_expansion_seeds_are_five_files_of_the_whole_list(spark, monkeypatch):
     from corpusmill.plans import graph as plan
 
     hits = [("a", i) for i in range(1, 8)] + [("b", 8), ("a", 9), ("c", 10), ("d", 11), ("e", 12), ("f", 13)]
-    monkeypatch.setattr(plan, "_hits", lambda s, d: spark.createDataFrame([(1, f, f"c{r}", r) for f, r in hits], "qid int, file_id string, chunk_id string, rank int"), raising=False)
+    monkeypatch.setattr(plan, "_hits", lambda s, d, lex: spark.createDataFrame([(1, f, f"c{r}", r) for f, r in hits], "qid int, file_id string, chunk_id string, rank int"), raising=False)
     edges = [("a", "n1", 2.0), ("e", "n2", 2.0), ("f", "n3", 2.0), ("a", "f", 9.0), ("b", "n4", 1.0)]
-    monkeypatch.setattr(plan, "_edges", lambda s, d: spark.createDataFrame(edges, "a string, b string, weight double"))
+    monkeypatch.setattr(plan, "_graph", lambda s, d: spark.createDataFrame(edges, "a string, b string, weight double"))
     assert sorted((r.file_id, r.via) for r in plan.expanded(spark, "").collect()) == [("n1", "a"), ("n2", "e")]
