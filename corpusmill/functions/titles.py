@@ -17,6 +17,13 @@ def join_spaced_capitals(c: Column) -> Column:
     return F.when(F.regexp_like(c, F.lit(r"^\s*\p{Lu}(?: +\p{Lu}\b){3,}\s*$")), F.trim(F.regexp_replace(joined, " {2,}", " "))).otherwise(c)
 
 
+def join_small_capitals(c: Column) -> Column:
+    """L ANGUAGE M ODELS as Language Models: a capital parted from a run of two or more, which small capitals leave behind."""
+    halves = F.split(F.regexp_replace(c, r"\b([A-Z])\s+([A-Z]{2,})\b", "\x01$1\x02$2\x01"), "\x01")
+    whole = F.transform(halves, lambda x: F.when(F.contains(x, F.lit("\x02")), F.concat(F.substring_index(x, "\x02", 1), F.lower(F.substring_index(x, "\x02", -1)))).otherwise(x))
+    return F.array_join(whole, "")
+
+
 def from_slug(c: Column) -> Column:
     """A slug or file name as words: extension, hash suffix and separators removed, first letters large."""
     bare = F.regexp_replace(F.regexp_replace(c, r"\.[A-Za-z0-9]{1,5}$", ""), r"[_-][0-9a-f]{8}$", "")
@@ -37,7 +44,7 @@ def is_meaningless(c: Column) -> Column:
 
 def fixed_title(title: Column, url: Column, filename: Column) -> Column:
     """struct(value, reason): the title itself, or the first source that gives one; reason is blank if nothing changed."""
-    spaced = join_spaced_capitals(title)
+    spaced = join_small_capitals(join_spaced_capitals(title))
     u, f = from_url(url), from_slug(filename)
     give = lambda v, r: F.struct(v.alias("value"), F.lit(r).alias("reason"))
     site = F.lower(F.regexp_replace(F.trim(title), r"^[\"']+|[\"']+$", "")).isin(C.SITE_TITLES)

@@ -18,6 +18,7 @@ from corpusmill.session import cut_lineage
 
 TILE = 8192
 LEAST_BITS, MISS = 12, 2e-4
+SKETCH_BITS = 128
 
 
 def usable(embedding: str, dimension: int) -> Column:
@@ -105,19 +106,26 @@ def vector_classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def sign_bands(n: int, floor: float, miss: float = MISS) -> tuple[int, int]:
-    """Bits per band and number of bands for n vectors, so that a band's buckets hold some ten vectors at any n and a pair at the floor shares no band with probability `miss`."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, n))) - 3)
+    """Bits per band and number of bands for n vectors, so that a band's buckets hold a vector or two at any n and a pair at the floor shares no band with probability `miss`."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, n))) - 1)
     together = (1 - math.acos(floor) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-together))
 
 
+def most_apart(floor: float) -> int:
+    """Of SKETCH_BITS signs, how many of a pair at the floor differ at most, but for one pair in ten million."""
+    share = math.acos(floor) / math.pi
+    return math.ceil(SKETCH_BITS * share + 5.2 * math.sqrt(SKETCH_BITS * share * (1 - share)))
+
+
 def cosine_pairs(vectors: DataFrame, key: str, vector: str, floor: float, classes: DataFrame | None = None, miss: float = MISS, seed: int = 17) -> DataFrame:
     """a < b and cosine of pairs of class representatives with cosine >= floor; classes (vector_classes) gives the members of each.
 
     Vectors that agree to 6 decimals form a class and are compared once, through the one with the smallest key: its pairs
     stand for those of its members, and members of one class have cosine 1. So no class is multiplied out.
 
-    Candidates share a band of random-hyperplane signs; each is then checked exactly. Bands get longer and more
+    Candidates share a band of random-hyperplane signs. Those whose sketches of SKETCH_BITS further signs lie too far
+    apart (most_apart) are dropped where they meet, and only the rest is joined to its vectors and checked exactly. Bands get longer and more
     as the table grows (sign_bands), so candidates grow with n ** 1.3 or less where vectors are spread, and a
     pair at the floor is missed with probability `miss`, nearer pairs with less. Buckets are split into blocks (within_pairs).
     """
@@ -133,14 +141,18 @@ def cosine_pairs(vectors: DataFrame, key: str, vector: str, floor: float, classe
                 continue
             v = _matrix(b.column(1))
             if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits)).astype(np.float32)
-            for lo in range(0, len(v), 4096):
-                on = (v[lo : lo + 4096].astype(np.float32) @ planes > 0).reshape(-1, bands, bits)
-                code = (on * (1 << np.arange(bits, dtype=np.int64))).sum(2) * bands + np.arange(bands)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(code)), pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, bands, dtype=np.int32)), pa.array(code.ravel()))], names=["id", "codes"])
-
-    codes = reps.select("id", "v").mapInArrow(sign, f"id {kind}, codes array<bigint>").select("id", F.explode("codes").alias("code"))
-    near = within_pairs(codes, "code", "id").select("a", "b").distinct()
+                planes = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits + SKETCH_BITS)).astype(np.float32)
+            for lo in range(0, len(v), 2048):
+                on = v[lo : lo + 2048].astype(np.float32) @ planes > 0
+                code = (on[:, SKETCH_BITS:].reshape(-1, bands, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2) * bands + np.arange(bands)
+                sketch = np.packbits(on[:, :SKETCH_BITS], axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, bands, dtype=np.int32)), pa.array(code.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(code)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists], names=["id", "s0", "s1", "codes"])
+
+    codes = reps.select("id", "v").mapInArrow(sign, f"id {kind}, s0 bigint, s1 bigint, codes array<bigint>").select(F.struct("id", "s0", "s1").alias("x"), F.explode("codes").alias("code"))
+    met = within_pairs(codes, "code", "x")
+    apart = lambda s: F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")))
+    near = met.where(apart("s0") + apart("s1") <= most_apart(floor)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     side = lambda s: reps.select(F.col("id").alias(s), F.col("v").alias(f"v{s}"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= floor)

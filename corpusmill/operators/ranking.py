@@ -31,17 +31,21 @@ def overlapping_pairs(lists: DataFrame, node: str, items: str, least: Column) ->
     order of weight, the last items of a node that together stay below `least` can't make a pair on their
     own, and the heaviest common item of a pair comes before them in both lists. So light items, which many
     nodes have, are never joined with themselves, and no pair is lost. Candidates are then weighed on all
-    their items.
+    their items. Items are told apart by 64-bit hashes.
     """
     sums = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y["w"])
-    sorted_ = lists.select(F.col(node).alias("n"), F.sort_array(items, False).alias("i"), least.alias("t"))
+    short = F.transform(items, lambda x: F.struct(x["w"].alias("w"), F.xxhash64(x).alias("h")))  # lists travel with every candidate
+    sorted_ = lists.select(F.col(node).alias("n"), F.sort_array(short, False).alias("i"), least.alias("t"))
     rests = F.transform("i", lambda x, k: F.struct(x.alias("x"), sums(F.slice("i", k + 1, F.size("i"))).alias("rest")))
-    kept = cut_lineage(sorted_.withColumn("head", F.filter(rests, lambda z: z["rest"] >= F.col("t") - 1e-9)))
-    heads = kept.select("n", F.explode(F.transform("head", lambda z: z["x"])).alias("x"))
-    near = within_pairs(heads, "x", "n").select("a", "b").distinct()
-    side = lambda s: kept.select(F.col("n").alias(s), F.col("i").alias(f"i{s}"), F.col("t").alias(f"t{s}"))
+    kept = cut_lineage(sorted_.withColumn("head", F.filter(rests, lambda z: z["rest"] >= F.col("t") - 1e-9)).withColumn("k", F.monotonically_increasing_id()))
+    heads = kept.select("k", F.explode(F.transform("head", lambda z: z["x"])).alias("x"))
+    near = within_pairs(heads, "x", "k").select("a", "b").distinct()  # numbers, shorter than names
+    side = lambda s: kept.select(F.col("k").alias(s), F.col("i").alias(f"i{s}"), F.col("t").alias(f"t{s}"))
     weighed = near.join(side("a"), "a").join(side("b"), "b").withColumn("shared", sums(F.array_intersect("ia", "ib")))
-    return weighed.where(F.col("shared") >= F.greatest("ta", "tb") - 1e-9).select("a", "b", "shared")
+    found = weighed.where(F.col("shared") >= F.greatest("ta", "tb") - 1e-9).select("a", "b", "shared")
+    name = lambda s: kept.select(F.col("k").alias(s), F.col("n").alias(f"n{s}"))
+    named = found.join(name("a"), "a").join(name("b"), "b")
+    return named.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "shared")
 
 
 def within_pairs(rows: DataFrame, group: str, item: str, block: int = 256) -> DataFrame:

@@ -209,7 +209,7 @@ def test_cosine_pairs_recall_and_classes(spark):
     assert got <= linked and len(got) >= 0.99 * len(linked) > 100
     for n in (10, 10**5, 10**7, 10**9):
         bits, bands = sign_bands(n, 0.88)
-        assert n / 2**bits <= 16 and (1 - (1 - math.acos(0.88) / math.pi) ** bits) ** bands <= 2e-4
+        assert n / 2**bits <= 4 and (1 - (1 - math.acos(0.88) / math.pi) ** bits) ** bands <= 2e-4
 
 
 def test_salted_lookup_keeps_every_row(spark):
@@ -284,6 +284,11 @@ def test_titles(spark):
     assert one(spark, titles.looks_like_authors(F.col("t")), "t string", "Ana Vidal, Ben Roe", "A Title", None) == [True, False, False]
 
 
+def test_small_capitals(spark):
+    values = ["L ANGUAGE M ODELS ARE F EW", "A TLAS OF B", "THE COST", "Plain A title", None]
+    assert one(spark, titles.join_small_capitals(F.col("t")), "t string", *values) == ["Language Models ARE Few", "Atlas OF B", "THE COST", "Plain A title", None]
+
+
 def test_expand_hops_decay(spark):
     e = spark.createDataFrame([("a", "b", 5.0), ("b", "c", 8.0)], "a string, b string, weight double")
     seeds = spark.createDataFrame([(1, "a")], "qid int, file_id string")
