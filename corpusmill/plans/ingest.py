@@ -151,10 +151,12 @@ def vocabulary_drift(spark, d):
 
 
 def trigger_hits(spark, d):
-    """How many current log entries hold each trigger of the vocabulary, which is broadcast: a fixed table."""
-    v = table(spark, d, "vocab_terms").select("kind", "name", F.explode("triggers").alias("trigger")).distinct()
-    rows = table(spark, d, "log_entries").select("log_id", F.lower(F.concat_ws(" ", "title", "body")).alias("t"))
-    return rows.join(F.broadcast(v), F.col("t").contains(F.lower("trigger"))).groupBy("kind", "name").agg(F.count_distinct("log_id").alias("n"))
+    """How many sources hold a trigger of each name of the vocabulary in their title, tags or concepts. The vocabulary is a fixed table; sources are scanned once."""
+    known = table(spark, d, "vocab_terms").select("kind", "name", F.explode("triggers").alias("trigger")).where("trigger IS NOT NULL").distinct().collect()
+    entry = lambda r: F.struct(F.lit(r.kind).alias("kind"), F.lit(r.name).alias("name"), F.lit(r.trigger.lower()).alias("trigger"))
+    rows = _sources(spark, d).select("row_id", F.lower(F.concat_ws(" ", "title", "tags", "concepts")).alias("t"))
+    held = F.filter(F.array(*[entry(r) for r in known]), lambda x: F.contains(F.col("t"), x["trigger"])) if known else F.array().cast("array<struct<kind:string,name:string,trigger:string>>")
+    return rows.select("row_id", F.explode(held).alias("x")).groupBy("x.kind", "x.name").agg(F.count_distinct("row_id").alias("n"))
 
 
 def sentence_packs(spark, d):
@@ -261,8 +263,8 @@ SQL = {
     "exact_texts": "SELECT sha1(text) AS sha1, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "vocabulary_drift": """WITH u AS (SELECT DISTINCT unnest(tags) AS name FROM chunks), k AS (SELECT DISTINCT name FROM vocab_terms WHERE kind = 'tag')
       SELECT name, 'unknown' AS state FROM u WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM k) UNION ALL SELECT name, 'unused' FROM k WHERE name NOT IN (SELECT name FROM u WHERE name IS NOT NULL)""",
-    "trigger_hits": """WITH v AS (SELECT DISTINCT kind, name, unnest(triggers) AS t FROM vocab_terms), r AS (SELECT log_id, lower(concat_ws(' ', title, body)) AS x FROM log_entries)
-      SELECT kind, name, count(DISTINCT log_id) AS n FROM r JOIN v ON contains(x, lower(t)) GROUP BY ALL""",
+    "trigger_hits": """WITH v AS (SELECT DISTINCT kind, name, unnest(triggers) AS t FROM vocab_terms), r AS (SELECT row_id, lower(concat_ws(' ', title, tags, concepts)) AS x FROM notion_sources)
+      SELECT kind, name, count(DISTINCT row_id) AS n FROM r JOIN v ON contains(x, lower(t)) GROUP BY ALL""",
     "sentence_packs": r"""WITH s AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(text, '([.!?])[ \t\r\n\f]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''),
         lambda x: greatest(1, floor(len(list_filter(regexp_split_to_array(x, '[ \t\r\n\f]+'), lambda w: w <> '')) / 0.75))::INTEGER) AS z FROM documents WHERE text IS NOT NULL),
       p AS (SELECT doc_id, CASE WHEN len(z) = 0 THEN {'packs': []::INTEGER[], 'cur': 0} ELSE list_reduce(list_prepend({'packs': []::INTEGER[], 'cur': 0}, list_transform(z, lambda x: {'packs': []::INTEGER[], 'cur': x})),
