@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FRONT = r"^(?:\x{FEFF})?---[ \t]*\r?\n((?:[^\n]*\n)*?)---[ \t]*(?:\r?\n|\z)"
+_FRONT = r"(?s)^(?:\x{FEFF})?---[ \t]*\r?\n(.*?)(?<=\n)---[ \t]*(?:\r?\n|\z)"
 _FIELD = r"(?dm)^([A-Za-z_][A-Za-z0-9_-]*)[ \t]*:[ \t]*([^\r\n]*)"
 
 
@@ -44,3 +44,31 @@ def code_lines(c: Column) -> Column:
 def marked_names(c: Column) -> Column:
     """Names between single back-ticks within a line."""
     return F.regexp_extract_all(c, F.lit(r"(?:^|[^`])`([^`\r\n]+)`"), F.lit(1))
+
+
+def without_front(c: Column) -> Column:
+    """The text after its top block; the text itself if it has none, null for null."""
+    return F.regexp_replace(c, _FRONT, "")
+
+
+def stripped_body(c: Column) -> Column:
+    """struct(body, blocks): the text after its top block, without later blocks of fields between --- lines, and how many there were.
+
+    Only texts with a top block lose later ones. Blocks are tried in order; one in which fewer than three fifths of
+    the lines that aren't blank are `key: value` ends the search, and all from there on stays, as does a block that
+    isn't closed. A block that goes leaves one blank line. Delimiters that stay lose blanks at their end. Null for null.
+    """
+    parts = F.split(without_front(c), r"\n---[ \t]*(?=\n)", -1)
+    lines = lambda x: F.filter(F.split(x, "\n"), lambda y: F.trim(y) != "")
+    fields = lambda x: F.filter(lines(x), lambda y: F.regexp_like(y, F.lit(r"^[A-Za-z_][A-Za-z0-9_-]*[ \t]*:")))
+    plain = lambda x: (F.size(lines(x)) == 0) | (F.size(fields(x)) * 5 < F.size(lines(x)) * 3)
+    had = F.regexp_like(c, F.lit(_FRONT))
+    with_stop = F.struct(parts.alias("p"), F.filter(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (~had | (i == F.size(parts) - 1) | plain(x)), i)), lambda i: i.isNotNull()).alias("s"))
+    done = F.transform(F.array(with_stop), lambda w: F.struct(w["p"].alias("p"), F.coalesce(F.get(w["s"], F.lit(0)), F.size(w["p"])).cast("int").alias("stop")))
+    made = F.transform(done, lambda w: F.struct(
+        F.concat(
+            F.array_join(F.filter(w["p"], lambda x, i: (i < w["stop"]) & (i % 2 == 0)), "\n\n"),
+            F.array_join(F.transform(F.filter(w["p"], lambda x, i: i >= w["stop"]), lambda x: F.concat(F.lit("\n---"), x)), ""),
+        ).alias("body"), (w["stop"] / 2).cast("int").alias("blocks"),
+    ))
+    return F.when(c.isNotNull(), F.get(made, F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill import config as C
+from corpusmill.functions.markdown import without_front
 
 #: Titles that say nothing.
 EMPTY_TITLES = ["", "untitled", "null", "none", "nan", "~", "-", "n/a", "title", "home", "index", "document", "no title", "tbd", "unknown"]
@@ -58,3 +59,15 @@ def looks_like_authors(c: Column) -> Column:
     """True for texts that are only names joined by commas, semicolons or and."""
     name = r"\p{Lu}[\p{L}.'-]*(?: \p{Lu}[\p{L}.'-]*){1,3}"
     return F.coalesce(F.regexp_like(F.trim(c), F.lit(rf"^{name}(?:(?:, | and |; ){name})+$")), F.lit(False))
+
+
+def from_body(c: Column) -> Column:
+    """The first heading of level one or two after the top block that says something, blanks folded, at most 200 characters; null if there is none."""
+    heads = F.filter(F.split(without_front(c), r"\r?\n"), lambda x: F.regexp_like(x, F.lit(r"^[ \t]*##? +[^ \t]")))
+    said = F.transform(heads, lambda x: F.substring(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[ \t]*##? +", ""), r"[ \t]+", " ")), 1, 200))
+    return F.get(F.filter(said, lambda x: (F.length(x) > 2) & ~is_meaningless(x)), F.lit(0))
+
+
+def from_file_name(c: Column) -> Column:
+    """A file name as it stands, without extension and hash suffix, runs of _ as blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\.[^.]*$", ""), r"_[0-9a-f]{8}$", ""), "_+", " "))

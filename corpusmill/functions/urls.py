@@ -85,6 +85,22 @@ def indexable(c: Column) -> Column:
     return ~reduce(lambda a, b: a | b, out)
 
 
+def fetch_slug(c: Column, most: int = 120) -> Column:
+    """A title as the name of a fetched file: characters other than letters, digits, _, blanks and - dropped, runs of blanks as one _."""
+    return F.substring(F.regexp_replace(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_ \t-]+", "")), r"[ \t]+", "_"), 1, most)
+
+
+def sidecar_path(c: Column) -> Column:
+    """True for paths that get a row in the sidecar: indexable, and in no inbox, trash, folder of duplicates, audit or health check."""
+    old = r"/_inbox/|/_trash_|/_dupes_|(^|/)(_audit_|_health_check_)[^/]*$"
+    return indexable(c) & ~F.regexp_like(F.concat(F.lit("/"), c), F.lit(old))
+
+
+def comparable_path(c: Column) -> Column:
+    """True for paths that take part in the search for duplicates: outside of trash, index, settings, inbox and folders of duplicates."""
+    return ~F.regexp_like(F.concat(F.lit("/"), c), F.lit(r"/(_trash|_index|\.obsidian|_inbox)/|/_dupes_|/_trash_"))
+
+
 def clean_day(c: Column) -> Column:
     """An ISO day at the start of the text, from 2010 on and not the first of January; blank otherwise."""
     d = F.regexp_extract(F.trim(c), r"^(\d{4}-\d{2}-\d{2})", 1)

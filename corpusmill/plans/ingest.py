@@ -96,21 +96,37 @@ def refetch_guard(spark, d):
     return _sources(spark, d).select(suffix.alias("h"), "row_id").where("h IS NOT NULL").join(seen, "h", "left_anti").groupBy("h").agg(F.min("row_id").alias("row_id"))
 
 
-def refetch_guard_addresses(spark, d):
-    """Every source with an address that isn't in the tree yet: what a fetch would still take, once per paper or hash.
-
-    The marker is the suffix of the source's file name, else the hash of the address that would be fetched. A
-    source is in the tree if a file outside of the trash and hidden folders ends in its marker, or has its arXiv number.
-    """
+def _fetchable(spark, d):
+    """row_id, kind, claim, h of every source with an address, and those of them that the tree doesn't hold."""
     kind, parts = U.handler(F.col("url")), F.split("relpath", "/")
     paper = F.when(F.col("kind") == "arxiv", U.arxiv_id(F.col("url")))
     address = F.when(F.col("kind") == "arxiv", U.fetched_url(F.col("url"))).otherwise(F.trim("url"))
-    rows = _sources(spark, d).withColumn("kind", kind).where("kind IS NOT NULL").select("row_id", paper.alias("paper"), F.coalesce(U.hash_suffix(F.col("filename")), U.url_hash(address)).alias("h"))
+    rows = _sources(spark, d).withColumn("kind", kind).where("kind IS NOT NULL").select("row_id", "kind", paper.alias("paper"), F.coalesce(U.hash_suffix(F.col("filename")), U.url_hash(address)).alias("h"))
     tree = table(spark, d, "files").where(~F.exists(parts, lambda p: p.startswith(".") | (p == "_trash"))).select(F.element_at(parts, -1).alias("name"))
     seen = tree.select(U.hash_suffix(F.col("name")).alias("h")).where("h IS NOT NULL").distinct()
     papers = tree.select(U.arxiv_id(F.col("name")).alias("paper")).where("paper IS NOT NULL").distinct()
-    left = rows.join(seen, "h", "left_anti").join(papers, "paper", "left_anti")
-    return left.groupBy(F.coalesce("paper", "h").alias("claim")).agg(F.min_by("h", "row_id").alias("h"), F.min("row_id").alias("row_id")).select("h", "row_id")
+    claimed = lambda x: x.withColumn("claim", F.coalesce("paper", "h"))
+    return claimed(rows), claimed(rows.join(seen, "h", "left_anti").join(papers, "paper", "left_anti"))
+
+
+def refetch_guard_addresses(spark, d):
+    """Every source with an address that isn't in the tree yet: what a fetch would still take, once per paper or hash.
+
+    The marker is the suffix of the source's file name, else the hash of the address that would be fetched. A
+    source is in the tree if a file outside of the trash and hidden folders ends in its marker, or has its arXiv number.
+    """
+    left = _fetchable(spark, d)[1]
+    return left.groupBy("claim").agg(F.min_by("h", "row_id").alias("h"), F.min("row_id").alias("row_id")).select("h", "row_id")
+
+
+def fetch_summary(spark, d):
+    """What a fetch of all sources comes to, by handler: rows, those to take, repeats of one that is taken, and those the tree holds."""
+    rows, left = _fetchable(spark, d)
+    per = left.groupBy("claim", "kind").agg(F.min("row_id").alias("first"), F.count("*").alias("n"))
+    taken = per.groupBy("claim").agg(F.min_by("kind", "first").alias("kind")).groupBy("kind").agg(F.count("*").alias("n_taken"))
+    n = rows.groupBy("kind").agg(F.count("*").alias("n_rows")).join(left.groupBy("kind").agg(F.count("*").alias("n_left")), "kind", "left").join(taken, "kind", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return n.select(F.col("kind").alias("handler"), "n_rows", zero("n_taken").alias("n_taken"), (zero("n_left") - zero("n_taken")).alias("n_repeated"), (F.col("n_rows") - zero("n_left")).alias("n_held"))
 
 
 def duplicate_groups(spark, d):
@@ -222,9 +238,15 @@ _RICH = " + ".join([_FILLED.format(c=c, more="") for c in _SCALARS] + [_FILLED.f
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SIDE = "side AS (SELECT filename, max(row_id) AS row_id, arg_max(coalesce(source_type, chr(1)), row_id) AS st FROM notion_sources WHERE filename IS NOT NULL GROUP BY filename)"
 
+_LEFT = r"""WITH n AS (SELECT row_id, trim(url) AS u, regexp_matches(lower(trim(url)), '^https?://([a-z0-9.]+\.)?arxiv\.org/') AS arxiv, nullif(regexp_extract(filename, '_([0-9a-f]{8})\.[A-Za-z0-9]+$', 1), '') AS suffix,
+        regexp_extract(url, 'arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,6})', 1) AS a, nullif(regexp_extract(url, '(?:^|[^0-9.])([0-9]{4}\.[0-9]{4,6})(?:[^0-9]|$)', 1), '') AS p FROM notion_sources WHERE trim(url) <> ''),
+      k AS (SELECT row_id, CASE WHEN arxiv THEN 'arxiv' WHEN regexp_matches(lower(u), '\.pdf([?#].*)?$') THEN 'pdf' ELSE 'web' END AS handler, CASE WHEN arxiv THEN p END AS paper, coalesce(suffix, substr(sha1(CASE WHEN arxiv AND a <> '' THEN 'https://arxiv.org/pdf/' || a || '.pdf' ELSE u END), 1, 8)) AS h FROM n),
+      t AS (SELECT string_split(relpath, '/')[-1] AS name FROM files WHERE NOT regexp_matches(relpath, '(^|/)(\.|_trash(/|$))')),
+      l AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM t WHERE regexp_extract(name, '_([0-9a-f]{8})\.[A-Za-z0-9]+$', 1) = k.h) AND NOT EXISTS (SELECT 1 FROM t WHERE regexp_extract(name, '(?:^|[^0-9.])([0-9]{4}\.[0-9]{4,6})(?:[^0-9]|$)', 1) = k.paper))"""
+
 QUERIES = {
     f.__name__: f
-    for f in (canonical_urls, canonical_titles, url_handlers, first_per_handler, fetched_markers, title_fixes, name_slugs, clean_days, short_hashes, path_parts, list_cells, sidecar_last_wins, files_with_sidecar, refetch_guard, refetch_guard_addresses, duplicate_groups, duplicate_winners, duplicate_summary, document_duplicates, exact_texts, vocabulary_drift, trigger_hits, sentence_packs, document_chunks, summaries, scrubbed, metadata_changes, fetch_claims, front_fields, code_lines)
+    for f in (canonical_urls, canonical_titles, url_handlers, first_per_handler, fetched_markers, title_fixes, name_slugs, clean_days, short_hashes, path_parts, list_cells, sidecar_last_wins, files_with_sidecar, refetch_guard, refetch_guard_addresses, fetch_summary, duplicate_groups, duplicate_winners, duplicate_summary, document_duplicates, exact_texts, vocabulary_drift, trigger_hits, sentence_packs, document_chunks, summaries, scrubbed, metadata_changes, fetch_claims, front_fields, code_lines)
 }
 SQL = {
     "canonical_urls": f"WITH {_SRC} SELECT row_id, coalesce(canonical, '') AS canonical, host FROM src",
@@ -245,12 +267,10 @@ SQL = {
     "files_with_sidecar": f"""WITH {_SIDE} SELECT file_id, row_id, coalesce(nullif(trim(source_type), ''), nullif(trim(nullif(st, chr(1))), ''), '') AS source_type FROM files f LEFT JOIN side s ON s.filename = string_split(f.relpath, '/')[-1]""",
     "refetch_guard": r"""WITH n AS (SELECT row_id, nullif(regexp_extract(filename, '_([0-9a-f]{8})\.[A-Za-z0-9]+$', 1), '') AS h FROM notion_sources)
       SELECT h, min(row_id) AS row_id FROM n WHERE h IS NOT NULL AND h NOT IN (SELECT regexp_extract(relpath, '_([0-9a-f]{8})\.[A-Za-z0-9]+$', 1) FROM files) GROUP BY h""",
-    "refetch_guard_addresses": r"""WITH n AS (SELECT row_id, trim(url) AS u, regexp_matches(lower(trim(url)), '^https?://([a-z0-9.]+\.)?arxiv\.org/') AS arxiv, nullif(regexp_extract(filename, '_([0-9a-f]{8})\.[A-Za-z0-9]+$', 1), '') AS suffix,
-        regexp_extract(url, 'arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,6})', 1) AS a, nullif(regexp_extract(url, '(?:^|[^0-9.])([0-9]{4}\.[0-9]{4,6})(?:[^0-9]|$)', 1), '') AS p FROM notion_sources WHERE trim(url) <> ''),
-      k AS (SELECT row_id, CASE WHEN arxiv THEN p END AS paper, coalesce(suffix, substr(sha1(CASE WHEN arxiv AND a <> '' THEN 'https://arxiv.org/pdf/' || a || '.pdf' ELSE u END), 1, 8)) AS h FROM n),
-      t AS (SELECT string_split(relpath, '/')[-1] AS name FROM files WHERE NOT regexp_matches(relpath, '(^|/)(\.|_trash(/|$))')),
-      l AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM t WHERE regexp_extract(name, '_([0-9a-f]{8})\.[A-Za-z0-9]+$', 1) = k.h) AND NOT EXISTS (SELECT 1 FROM t WHERE regexp_extract(name, '(?:^|[^0-9.])([0-9]{4}\.[0-9]{4,6})(?:[^0-9]|$)', 1) = k.paper))
-      SELECT arg_min(h, row_id) AS h, min(row_id) AS row_id FROM l GROUP BY coalesce(paper, h)""",
+    "refetch_guard_addresses": _LEFT + " SELECT arg_min(h, row_id) AS h, min(row_id) AS row_id FROM l GROUP BY coalesce(paper, h)",
+    "fetch_summary": _LEFT + """, t1 AS (SELECT arg_min(handler, row_id) AS handler FROM l GROUP BY coalesce(paper, h)),
+      a AS (SELECT handler, count(*) AS n_rows FROM k GROUP BY 1), b AS (SELECT handler, count(*) AS n_left FROM l GROUP BY 1), c AS (SELECT handler, count(*) AS n_taken FROM t1 GROUP BY 1)
+      SELECT handler, n_rows, coalesce(n_taken, 0) AS n_taken, coalesce(n_left, 0) - coalesce(n_taken, 0) AS n_repeated, n_rows - coalesce(n_left, 0) AS n_held FROM a LEFT JOIN b USING (handler) LEFT JOIN c USING (handler)""",
     "duplicate_groups": f"WITH {_GROUPS} SELECT * FROM dg",
     "duplicate_winners": f"""WITH {_GROUPS}, r AS (SELECT row_id, {_RICH} AS richness FROM notion_sources)
       SELECT group_type, group_key, row_id, size, richness, row_number() OVER (PARTITION BY group_type, group_key ORDER BY richness DESC, row_id) = 1 AS winner FROM dg JOIN r USING (row_id)""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import browse, graph, ingest, search
+from corpusmill.plans import browse, graph, ingest, records, search
 
-_PARTS = (search, browse, ingest, graph)
+_PARTS = (search, browse, ingest, graph, records)
 QUERIES = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
 SQL = {k: q for p in _PARTS for k, q in p.SQL.items()}
