@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FRONT = r"(?s)^(?:\x{FEFF})?---[ \t]*\r?\n(.*?)(?<=\n)---[ \t]*(?:\r?\n|\z)"
+FRONT = r"(?s)^(?:\x{FEFF})?---[ \t]*\r?\n(.*?)(?<=\n)---[ \t]*(?:\r?\n|\z)"
 _FIELD = r"(?dm)^([A-Za-z_][A-Za-z0-9_-]*)[ \t]*:[ \t]*([^\r\n]*)"
 
 
 def front_block(c: Column) -> Column:
     """The lines between the --- lines at the top of a text; blank if there is no such block, null for null."""
-    return F.regexp_extract(c, _FRONT, 1)
+    return F.regexp_extract(c, FRONT, 1)
 
 
 def front_fields(c: Column) -> Column:
@@ -48,7 +48,7 @@ def marked_names(c: Column) -> Column:
 
 def without_front(c: Column) -> Column:
     """The text after its top block; the text itself if it has none, null for null."""
-    return F.regexp_replace(c, _FRONT, "")
+    return F.regexp_replace(c, FRONT, "")
 
 
 def stripped_body(c: Column) -> Column:
@@ -62,7 +62,7 @@ def stripped_body(c: Column) -> Column:
     lines = lambda x: F.filter(F.split(x, "\n"), lambda y: F.trim(y) != "")
     fields = lambda x: F.filter(lines(x), lambda y: F.regexp_like(y, F.lit(r"^[A-Za-z_][A-Za-z0-9_-]*[ \t]*:")))
     plain = lambda x: (F.size(lines(x)) == 0) | (F.size(fields(x)) * 5 < F.size(lines(x)) * 3)
-    had = F.regexp_like(c, F.lit(_FRONT))
+    had = F.regexp_like(c, F.lit(FRONT))
     with_stop = F.struct(parts.alias("p"), F.filter(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (~had | (i == F.size(parts) - 1) | plain(x)), i)), lambda i: i.isNotNull()).alias("s"))
     done = F.transform(F.array(with_stop), lambda w: F.struct(w["p"].alias("p"), F.coalesce(F.get(w["s"], F.lit(0)), F.size(w["p"])).cast("int").alias("stop")))
     made = F.transform(done, lambda w: F.struct(
@@ -72,3 +72,17 @@ def stripped_body(c: Column) -> Column:
         ).alias("body"), (w["stop"] / 2).cast("int").alias("blocks"),
     ))
     return F.when(c.isNotNull(), F.get(made, F.lit(0)))
+
+
+#: The entities that pages use most, & last.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+
+
+def html_text(c: Column) -> Column:
+    """The text of a page: scripts, styles, comments and tags dropped, a line for each block, blanks folded. Null for null."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->", " ")
+    lined = F.regexp_replace(F.regexp_replace(bare, r"[\s\x{A0}]+", " "), r"(?i)<br\s*/?>|</?(p|div|section|article|header|footer|main|nav|ul|ol|li|table|tr|h[1-6]|blockquote|pre|title)\b[^>]*>", "\n")
+    text = F.regexp_replace(lined, r"</?[A-Za-z!][^>]*>", "")
+    for entity, plain in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n[ \t\n]*", "\n"), r" {2,}", " "), r"^\s+|\s+$", "")

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from corpusmill.functions import markdown as M
 from corpusmill.functions import titles as T
 from corpusmill.functions import urls as U
+from corpusmill.functions.sql import register_functions
 from corpusmill.operators import delta, facets
 from corpusmill.operators import judgements as J
 from corpusmill.operators.delta import last_version
+from corpusmill.operators.evaluation import split_of
 from corpusmill.operators.ranking import numbered
 from corpusmill.operators.skew import hot_threshold, salted_lookup
 from corpusmill.plans.browse import _items, related_concepts
 from corpusmill.plans.browse import SQL as _BROWSE
-from corpusmill.plans.common import CUR, KEYS, VEC, bm25_sql, current
+from corpusmill.plans.common import CUR, KEYS, VEC, bm25_sql, current, tokens_sql
 from corpusmill.plans.ingest import SQL as _INGEST
 from corpusmill.plans.ingest import duplicate_groups, vocabulary_drift
-from corpusmill.plans.search import _DENSE, _SPLIT, _BUCKET, _runs, bm25_vocabulary
-from corpusmill.operators.evaluation import split_of
+from corpusmill.plans.search import _BUCKET, _DENSE, _SPLIT, _runs, bm25_vocabulary
 from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import table
 
@@ -156,6 +157,13 @@ def mined_judgements(spark, d):
     return J.judgements(_saved(spark, d), "qid", "text").select("qid", "query", F.explode("relevant_file_ids").alias("file_id"), "source", "split")
 
 
+def sql_tokens(spark, d):
+    """Tokens of titles and how often each occurs, in the library's SQL functions."""
+    register_functions(spark)
+    table(spark, d, "notion_sources").createOrReplaceTempView("titled_sources")
+    return spark.sql("SELECT term, count(*) AS n FROM (SELECT explode(tokenize(title)) AS term FROM titled_sources) GROUP BY term")
+
+
 def eval_drift(spark, d):
     """Judged queries whose relevant files are all gone from the manifest, after those held out are set aside."""
     relevant = _runs(spark, d)[2].where(split_of(F.col("qid").cast("string")) == "dev")
@@ -173,7 +181,7 @@ _RELATED = _BROWSE["related_concepts"]
 _SAVED = f"""WITH {CUR}, qs AS (SELECT DISTINCT name AS qid, name AS query FROM vocab_terms WHERE name IS NOT NULL), {bm25_sql('qs', 8)},
   h AS (SELECT qid, rank, file_id, coalesce(title, '') AS title, coalesce(relpath, '') AS relpath, coalesce(text, '') AS text, 'Found in ' || coalesce(title, '') || ' (' || string_split(relpath, '/')[-1] || ').' AS answer FROM bm25 JOIN cur USING (file_id, chunk_id))"""
 
-QUERIES = {f.__name__: f for f in (sidecar_tiers, sidecar_rows, file_records, detail_sections, concept_pages, related_titles, top_facets, largest_groups, vocabulary_status, index_health, fetch_slugs, body_titles, stripped_bodies, saved_queries, mined_judgements, eval_drift)}
+QUERIES = {f.__name__: f for f in (sidecar_tiers, sidecar_rows, file_records, detail_sections, concept_pages, related_titles, top_facets, largest_groups, vocabulary_status, index_health, fetch_slugs, body_titles, stripped_bodies, saved_queries, mined_judgements, eval_drift, sql_tokens)}
 SQL = {
     "sidecar_tiers": f"""WITH p AS ({_TIER.format(c=_PACK(_ALL), m='p', o='curated')}), c AS ({_TIER.format(c=_PACK(_TAXONOMY), m='c', o='classified')}), f AS (SELECT file_id, relpath, string_split(relpath, '/')[-1] AS filename FROM files WHERE type = 'pdf' AND {_SIDE_OK})
       SELECT file_id, f.filename, regexp_replace(relpath, '/?[^/]*$', '') AS folder, coalesce(nullif(trim(p.title), ''), trim(regexp_replace(regexp_replace(regexp_replace(f.filename, '\\.[^.]*$', ''), '_[0-9a-f]{{8}}$', ''), '_+', ' ', 'g'))) AS title,
@@ -208,6 +216,7 @@ SQL = {
       SELECT qid, length(text)::INTEGER AS n_chars, md5(text) AS digest FROM t""",
     "mined_judgements": _SAVED + r""", a AS (SELECT qid, arg_min(answer, rank) AS answer FROM h GROUP BY qid)
       SELECT DISTINCT 'sq-' || qid AS qid, qid AS query, file_id, 'saved_query' AS source, 'dev' AS split FROM h JOIN a USING (qid) WHERE contains(a.answer, file_id) OR (relpath <> '' AND contains(a.answer, string_split(relpath, '/')[-1])) OR (title <> '' AND contains(lower(a.answer), lower(regexp_replace(title, '[\[\]\r\n]+', ' ', 'g'))))""",
+    "sql_tokens": f"SELECT term, count(*) AS n FROM (SELECT unnest({tokens_sql('title')}) AS term FROM notion_sources) GROUP BY term",
     "eval_drift": f"""WITH {VEC}, {_DENSE}, {CUR}, hq AS (SELECT row_ix AS qid FROM vec JOIN cur USING (file_id, chunk_id) WHERE row_ix % 50 = 0 AND heading_path IS NOT NULL), rel AS (SELECT DISTINCT qid, file_id FROM dense JOIN vec USING (row_ix) WHERE rank <= 10 AND round(s, 4) >= 0.8),
       dev AS (SELECT * FROM rel WHERE {_SPLIT.format(b=_BUCKET.format(c='qid::VARCHAR'))} = 'dev'), k AS (SELECT file_id FROM ({_BROWSE['manifest']}))
       SELECT qid, count(*) AS n_relevant, count(k.file_id) AS n_known, CASE WHEN count(k.file_id) > 0 THEN 'kept' ELSE 'excluded' END AS state FROM dev LEFT JOIN (SELECT DISTINCT file_id FROM k) k USING (file_id) GROUP BY qid""",

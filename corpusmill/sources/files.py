@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusmill.functions.urls import indexable
+from corpusmill.operators.skew import small_side
 
 CHUNK_SCHEMA = "file_id string, chunk_id string, relpath string, title string, category string, subcategory string, tags array<string>, concepts array<string>, heading_path string, tokens int, text string"
 QREL_SCHEMA = "qid string, query string, relevant_file_ids array<string>, source string, split string, created string"
@@ -28,9 +29,10 @@ def scan_tree(spark: SparkSession, root: str, pattern: str = "*.{md,pdf}") -> Da
     )
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of chunks: malformed lines are dropped, excluded paths left out."""
-    return spark.read.schema(CHUNK_SCHEMA).option("mode", "DROPMALFORMED").json(path).where(indexable(F.col("relpath")))
+def read_chunks(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
+    """JSON lines of chunks: malformed lines are dropped, excluded paths left out unless every is set."""
+    rows = spark.read.schema(CHUNK_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return rows if every else rows.where(indexable(F.col("relpath")))
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -99,6 +101,23 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[str]]) ->
     return files.select("relpath", "content").mapInPandas(run, "relpath string, n_pages int, body string, error string")
 
 
+def cached_extract(files: DataFrame, extractor: Callable[[bytes], list[str]], previous: DataFrame | None = None) -> DataFrame:
+    """relpath, sha1, n_pages, body, error: extracts of an earlier run are taken over where the content is the same.
+
+    previous: sha1, n_pages, body, error. Only contents it lacks are extracted, equal ones once; errors are tried
+    again. A null content has a null digest and no extract.
+    """
+    named = files.withColumn("sha1", F.sha1("content"))
+    keys = named.select("relpath", "sha1")
+    known = None if previous is None else previous.where("sha1 IS NOT NULL AND error IS NULL").dropDuplicates(["sha1"]).select("sha1", "n_pages", "body", "error")
+    missing = keys.where("sha1 IS NOT NULL").groupBy("sha1").agg(F.min("relpath").alias("relpath"))
+    if known is not None:
+        missing = missing.join(known.select("sha1"), "sha1", "left_anti")
+    first = small_side(missing)
+    made = extract_pages(named.join(first.select("relpath"), "relpath", "left_semi"), extractor).join(first, "relpath").select("sha1", "n_pages", "body", "error")
+    return keys.join(made if known is None else made.unionByName(known), "sha1", "left").select("relpath", "sha1", "n_pages", "body", "error")
+
+
 def manifest_cell(c: str, kind: str, delimiter: str = "|") -> Column:
     """A manifest cell: lists joined, control characters and line breaks as blanks, null as empty."""
     text = F.array_join(c, delimiter) if kind.startswith("array") else F.col(c).cast("string")
