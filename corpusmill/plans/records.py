@@ -161,7 +161,7 @@ def sql_tokens(spark, d):
     """Tokens of titles and how often each occurs, in the library's SQL functions."""
     register_functions(spark)
     table(spark, d, "notion_sources").createOrReplaceTempView("titled_sources")
-    return spark.sql("SELECT term, count(*) AS n FROM (SELECT explode(tokenize(title)) AS term FROM titled_sources) GROUP BY term")
+    return spark.sql("SELECT term, count(*) AS n FROM (SELECT explode(tokens) AS term FROM (SELECT tokenize(title) AS tokens FROM titled_sources)) GROUP BY term")
 
 
 def eval_drift(spark, d):
