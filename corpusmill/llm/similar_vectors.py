@@ -24,12 +24,14 @@ from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import table
 
 DIMENSION = 128
-SHARD_ROWS = 8192
+#: Rows of a cell: more of them, not more cells, as tables grow, for neighbours are lost between cells. Beyond FEW_CELLS of LARGE_SHARD rows there are more cells.
+SHARD_ROWS, LARGE_SHARD, FEW_CELLS = 8192, 65_536, 8
 #: A cell over PART_ROWS is cut into parts, so that a graph fits into a task's memory.
 PART_ROWS = 131_072
 SAMPLE_ROWS = 32_768
 LEVEL_CELLS = 256
-PROBES, MARGIN = 4, 0.13
+#: PROBES up to FEW_CELLS, and one more for each doubling. Coarse cells whose fine ones are compared.
+PROBES, MARGIN, COARSE_PROBES = 4, 0.13, 16
 ASK_BATCH = 1024
 #: Grids of by_direction, the numbers that place a vector in one, their step, and the largest difference of any component within a class.
 GRIDS, GRID_AXES, GRID_STEP, SAME_DIRECTION = 3, 3, 4e-6, 2e-7
@@ -93,6 +95,14 @@ def coarse_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 11
     return c
 
 
+def cell_rows(n: int) -> int:
+    return min(LARGE_SHARD, max(SHARD_ROWS, -(-n // FEW_CELLS)))
+
+
+def cell_probes(cells: int) -> int:
+    return PROBES + max(0, round(np.log2(cells / FEW_CELLS)))
+
+
 @dataclass
 class Cells:
     """Centroids of the cells, and where there are two levels the coarse ones and the first cell of each."""
@@ -102,12 +112,12 @@ class Cells:
     first: np.ndarray | None = None  # len(coarse) + 1
 
     def nearest(self, x: np.ndarray, probes: int, margin: float) -> np.ndarray:
-        """Numbers of the nearest cells of each row, best first; -1 beyond the margin behind the best."""
+        """Numbers of the nearest cells of each row, best first; -1 beyond the margin behind the best. The best doesn't depend on the number of probes."""
         if self.coarse is None:
             s, cell = x @ self.fine.T, np.broadcast_to(np.arange(len(self.fine)), (len(x), len(self.fine)))
         else:
             s, cell = np.full((len(x), 0), -np.inf, np.float32), np.zeros((len(x), 0), np.int64)
-            near = np.argsort(-(x @ self.coarse.T), axis=1)[:, :probes]
+            near = np.argsort(-(x @ self.coarse.T), axis=1)[:, : max(COARSE_PROBES, probes)]
             for p in range(near.shape[1]):
                 width = int(np.diff(self.first)[near[:, p]].max(initial=1))
                 ps, pn = np.full((len(x), width), -np.inf, np.float32), np.full((len(x), width), -1, np.int64)
@@ -195,7 +205,7 @@ def by_direction(members: DataFrame, vectors: DataFrame) -> DataFrame | None:
 
 def most_similar(
     vectors: DataFrame, key: str, embedding: str, k: int, dimension: int, min_similarity: float = -1.0, among: DataFrame | None = None,
-    shard_rows: int = SHARD_ROWS, probes: int = PROBES, margin: float = MARGIN, beam: int = BEAM_SEARCH, part_rows: int = PART_ROWS, level_cells: int = LEVEL_CELLS,
+    shard_rows: int | None = None, probes: int | None = None, margin: float = MARGIN, beam: int = BEAM_SEARCH, part_rows: int = PART_ROWS, level_cells: int = LEVEL_CELLS,
 ) -> DataFrame:
     """key, rank, neighbour, similarity: for every usable vector its k most similar others, best first, ties to the smaller key.
 
@@ -205,7 +215,8 @@ def most_similar(
 
     Vectors of one direction, equal or scaled, are indexed once (by_direction), with their k + 1 smallest keys; each
     copy then gets its own list, so a vector with a million copies costs one search. Cells are fitted by fit_cells.
-    A vector searches the cells whose centroids are at most `margin` less similar than its nearest one, `probes` at most. A cell over part_rows is cut into several
+    A vector searches the cells whose centroids are at most `margin` less similar than its nearest one, `probes` at most. By default cell_rows and cell_probes give their size and
+    the probes. A cell over part_rows is cut into several
     shards by a hash, and its queries search all of them. Every shard is one task: it builds its graph once, and
     the queries stream past it.
     """
@@ -232,7 +243,8 @@ def most_similar(
     n = distinct.count()
     if n == 0:
         return spark.createDataFrame([], f"`{key}` bigint, rank int, neighbour bigint, similarity double")
-    cells = spark.sparkContext.broadcast(fit_cells(distinct.select("rep", "v"), n, dimension, shard_rows, level_cells))
+    cells = spark.sparkContext.broadcast(fit_cells(distinct.select("rep", "v"), n, dimension, shard_rows or cell_rows(n), level_cells))
+    probes = probes or cell_probes(len(cells.value.fine))
 
     def homes(batches):
         count = np.zeros(len(cells.value.fine), np.int64)
@@ -287,7 +299,7 @@ def most_similar(
     # a vector's own copies are neighbours too, found or not
     alike = distinct.where("copies > 1").select("rep", F.transform("ids", lambda x: F.struct(F.lit(-1.0).alias("d"), x.alias("id"))).alias("near"))
     merged = hits.unionByName(alike).groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
-    lists = distinct.select("rep", "ch", "copies").join(merged, "rep")
+    lists = distinct.select("rep", "ch", "copies").join(cut_lineage(merged), "rep")  # else both uses below search
     single = lists.where("copies = 1").select(F.col("rep").alias("id"), "near")
     copied = salted_lookup(members.withColumnRenamed("h", "ch"), lists.where("copies > 1").select("ch", "near", "copies"), "ch", "copies", hot_rows=hot).select("id", "near")
     others = single.unionByName(copied).select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))

@@ -62,6 +62,27 @@ def test_most_similar_shards_copies_and_ties(spark):
     assert similar_vectors.most_similar(df.limit(1), "row_ix", "embedding", 5, 16).count() == 0
 
 
+def test_home_cell_is_the_same_for_any_number_of_probes():
+    rng = np.random.default_rng(3)
+    unit = lambda n: (v := rng.standard_normal((n, 16))) / np.linalg.norm(v, axis=1)[:, None]
+    two_levels = similar_vectors.Cells(unit(60), unit(10), np.arange(0, 61, 6))
+    x = unit(500)
+    assert (two_levels.nearest(x, 1, 0.2)[:, 0] == two_levels.nearest(x, 4, 0.2)[:, 0]).all()
+
+
+def test_pairs_meet_in_cells_of_large_tables():
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x = unit(np.repeat(rng.standard_normal((4000, 64)), 2, axis=0) + 0.55 * rng.standard_normal((8000, 64))).astype(np.float32)  # pairs at 0.77
+    n = 2_400_000
+    c = similar_vectors.Cells(similar_vectors.coarse_cells(x, -(-n // similar_vectors.cell_rows(n))))
+    near = c.nearest(x, similar_vectors.cell_probes(len(c.fine)), similar_vectors.MARGIN)
+    a, b = near[::2], near[1::2]
+    met = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+    assert met.mean() > 0.9
+    assert similar_vectors.cell_rows(10**9) <= similar_vectors.PART_ROWS
+
+
 def test_most_similar_with_many_scaled_copies(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((200, 16))
