@@ -20,7 +20,7 @@ from corpusmill.plans.browse import SQL as _BROWSE
 from corpusmill.plans.common import CUR, KEYS, VEC, bm25_sql, current, tokens_sql
 from corpusmill.plans.ingest import SQL as _INGEST
 from corpusmill.plans.ingest import duplicate_groups, vocabulary_drift
-from corpusmill.plans.search import _BUCKET, _DENSE, _SPLIT, _runs, bm25_vocabulary
+from corpusmill.plans.search import _BUCKET, _DENSE, _SPLIT, bm25_vocabulary, judged
 from corpusmill.session import cut_lineage
 from corpusmill.sources.tables import table
 
@@ -166,7 +166,7 @@ def sql_tokens(spark, d):
 
 def eval_drift(spark, d):
     """Judged queries whose relevant files are all gone from the manifest, after those held out are set aside."""
-    relevant = _runs(spark, d)[2].where(split_of(F.col("qid").cast("string")) == "dev")
+    relevant = judged(spark, d).where(split_of(F.col("qid").cast("string")) == "dev")
     return J.drift(relevant, table(spark, d, "files").where(U.indexable(F.col("relpath"))))
 
 

@@ -76,6 +76,13 @@ def test_drift(spark):
     assert sorted(tuple(r) for r in J.drift(relevant, known).select("qid", "n_relevant", "n_known", "state").collect()) == [(1, 2, 1, "kept"), (2, 1, 0, "excluded"), (3, 1, 0, "excluded")]
 
 
+def test_drift_ranks_no_words(spark, tiny, monkeypatch):
+    from corpusmill.plans import search
+
+    monkeypatch.setattr(search, "_ranked", None)
+    assert QUERIES["eval_drift"](spark, tiny).count() > 0
+
+
 def test_new_queries_have_rows(spark, tiny):
     for name in ("sidecar_tiers", "sidecar_rows", "fetch_summary", "body_titles", "stripped_bodies", "mined_judgements"):
         assert QUERIES[name](spark, tiny).count() > 0, name
