@@ -445,6 +445,12 @@ def test_title_groups_need_a_member_outside_of_address_groups(spark):
     assert [(r.group_type, r.doc_id) for r in duplicates.duplicate_groups(duplicates.keyed(same, "doc_id", None, None, "relpath", "text"), "doc_id").orderBy("doc_id").collect()] == [("content_hash", 1), ("content_hash", 2)]
 
 
+def test_dense_lists_do_not_grow_with_small_tiles():
+    from corpusmill.operators.dense import row_tiles
+
+    assert row_tiles(400_000, 8192, 6) == 13 and row_tiles(48_000, 8192, 6) == 6 and row_tiles(0, 8192, 6) == 1
+
+
 def test_earlier_runs(spark):
     ids = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "row_ix long, sha1 string")
     now = spark.createDataFrame([("k1", "x"), ("k2", "y"), ("k3", None)], "k string, sha1 string")
