@@ -1,12 +1,15 @@
 import math
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import markdown as M
 from corpusmill.functions import urls as U
 from corpusmill.functions.text import raw_tokens, token_estimate, word_count
-from corpusmill.operators import chunking, delta, duplicates, evaluation, facets, graph, lexical, skew
+from corpusmill.operators import chunking, delta, dense, duplicates, evaluation, facets, graph, lexical, skew
 from corpusmill.operators.dense import cosine_pairs, dense_topk, sign_bands, vector_classes
 from corpusmill.operators.fusion import rrf
 from corpusmill.functions import titles
@@ -15,6 +18,7 @@ from corpusmill.operators.lexical import bm25, expand_acronyms, join_phrases, re
 from corpusmill.operators.ranking import numbered, within_pairs
 from corpusmill.operators.search import Expansion, Filters, neighbours_of, search
 from corpusmill.operators.skew import hot_threshold, salted_lookup
+from corpusmill.session import CLEANUP_KEY, cut_lineage
 from corpusmill.sources.files import front_matter, parse_markdown, qrel_violations, scan_tree
 
 
@@ -509,3 +513,33 @@ def test_expansion_seeds_are_five_files_of_the_whole_list(spark, monkeypatch):
     edges = [("a", "n1", 2.0), ("e", "n2", 2.0), ("f", "n3", 2.0), ("a", "f", 9.0), ("b", "n4", 1.0)]
     monkeypatch.setattr(plan, "_graph", lambda s, d: spark.createDataFrame(edges, "a string, b string, weight double"))
     assert sorted((r.file_id, r.via) for r in plan.expanded(spark, "").collect()) == [("n1", "a"), ("n2", "e")]
+
+
+def _shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {str(p) for f in folders for p in Path(f.toString()).rglob("shuffle_*")}
+
+
+def test_shuffles_of_kept_results_are_removed(spark):
+    before = _shuffle_files(spark)
+    kept = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("g")).agg(F.count("*").alias("n")))
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert kept.agg(F.sum("n")).first()[0] == 1000
+    assert spark.conf.get(CLEANUP_KEY) == "false"
+
+
+def test_bands_meet_in_passes(spark, monkeypatch):
+    assert dense.band_passes(40_000, 62) == [(0, 62)]
+    assert [x for lo, hi in dense.band_passes(340_000, 87) for x in range(lo, hi)] == [*range(87)]
+    assert len(dense.band_passes(340_000, 87)) == 4
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((60, 16))[rng.integers(0, 60, 400)] + 0.15 * rng.standard_normal((400, 16))
+    rows = spark.createDataFrame([(f"{i:05d}", (r / np.linalg.norm(r)).tolist()) for i, r in enumerate(v)], "id string, v array<double>")
+    at_once = {tuple(r) for r in dense.cosine_pairs(rows, "id", "v", 0.9).select("a", "b").collect()}
+    monkeypatch.setattr(dense, "PASS_ROWS", 1000)
+    assert len(dense.band_passes(400, 40)) > 1
+    assert {tuple(r) for r in dense.cosine_pairs(rows, "id", "v", 0.9).select("a", "b").collect()} == at_once != set()
