@@ -543,3 +543,33 @@ def test_bands_meet_in_passes(spark, monkeypatch):
     monkeypatch.setattr(dense, "PASS_ROWS", 1000)
     assert len(dense.band_passes(400, 40)) > 1
     assert {tuple(r) for r in dense.cosine_pairs(rows, "id", "v", 0.9).select("a", "b").collect()} == at_once != set()
+
+
+def test_pairs_that_share_too_little_are_dropped_where_they_meet(spark):
+    import random
+
+    from corpusmill.operators import ranking
+    from corpusmill.operators.skew import cut_lineage
+
+    rng = random.Random(4)
+    weight = {i: 1.0 if i == 0 else 0.5 + i / 1000 for i in range(300)}  # all have the heaviest item
+    lists = {k: [0, *sorted(rng.sample(range(1, 300), rng.choice([3, 5, 140]) if k % 40 == 0 else 4))] for k in range(240)}
+    rows = [(k, [(weight[i], i) for i in sorted(items, key=lambda i: (-weight[i], -i))], 1.9) for k, items in lists.items()]
+    df = spark.createDataFrame(rows, "k bigint, i array<struct<w: double, h: bigint>>, t double")
+    near = {(r.a, r.b) for r in ranking.meeting_pairs(cut_lineage(df.selectExpr("*", "transform(i, x -> struct(x AS x)) AS head"))).collect()}
+    want = {(a, b) for a in lists for b in lists if a < b and sum(weight[i] for i in set(lists[a]) & set(lists[b])) >= 1.9}
+    assert want and want <= near and len(near) < 240 * 239 / 2 / 5  # all pairs meet by the first item
+
+
+@pytest.mark.parametrize("name", ["search_filtered"])
+def test_texts_of_candidates_are_found_without_a_shuffle_of_all(spark, tiny, name):
+    import __spark_entry__ as e
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only what has been counted is broadcast
+    try:
+        plan = e.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    semi = [x for x in plan.splitlines() if "LeftSemi" in x]
+    assert semi and all("BroadcastHashJoin" in x for x in semi)
