@@ -561,7 +561,7 @@ def test_pairs_that_share_too_little_are_dropped_where_they_meet(spark):
     assert want and want <= near and len(near) < 240 * 239 / 2 / 5  # all pairs meet by the first item
 
 
-@pytest.mark.parametrize("name", ["reranked", "search_filtered"])
+@pytest.mark.parametrize("name", ["reranked", "reranked_full", "search_filtered"])
 def test_texts_of_candidates_are_found_without_a_shuffle_of_all(spark, tiny, name):
     import __spark_entry__ as e
 
